@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_encode_decode
 from .common import table
+from .toxicity import toxicity, toxicity_model
 
 
 def word_tokenizer() -> str:
@@ -30,5 +31,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(bpe_encode_decode(table(spark, sf_dir, "documents"), word_tokenizer()))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe}
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity}
 ORACLE_SQL: dict[str, str] = {}
