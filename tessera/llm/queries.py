@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_encode_decode
 from .common import table
+from .decontaminate import decontaminate
+from .html_text import extract
 from .toxicity import toxicity, toxicity_model
 
 
@@ -36,5 +38,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity}
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op5_html": op5_html, "op7_decontaminate": op7_decontaminate}
 ORACLE_SQL: dict[str, str] = {}
