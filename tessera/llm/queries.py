@@ -12,6 +12,8 @@ from .common import table
 from .decontaminate import decontaminate
 from .html_text import extract
 from .pii import surrogates
+from .quality import quality, quality_model
+from .topk import top_k
 from .toxicity import toxicity, toxicity_model
 
 
@@ -56,5 +58,27 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_entities", "kinds", F.sha2("text", 256).alias("text_sha256"), "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op5_html": op5_html, "op6_pii": op6_pii, "op7_decontaminate": op7_decontaminate}
-ORACLE_SQL: dict[str, str] = {}
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, x -> floor(256 * x::double)) as e from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, x -> x is not null and isfinite(x))) = len(embedding)
+), s as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+  from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0
+), r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality(docs, quality_model(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op5_html": op5_html, "op6_pii": op6_pii, "op7_decontaminate": op7_decontaminate, "op9_topk": op9_topk, "op10_quality": op10_quality}
+ORACLE_SQL: dict[str, str] = {"op9_topk": OP9_SQL}

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, remainder
+from .common import labelled_sample, map_arrow, remainder
 
 MOST = 12_000
 THRESHOLD = 0.3
@@ -192,20 +192,6 @@ def learn(rows: list[tuple[str | None, int]]) -> Lexicon:
     return Lexicon(weights, harmless, tuple(float(v) for v in b))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, out_fold: int, most: int) -> list[tuple[str | None, int]]:
-    """At most ``most`` labelled rows outside the held-out fold, by the order of a hash; the ids, so bounded, are broadcast."""
-    ids = (
-        labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", folds) != out_fold))
-        .groupBy("doc_id")
-        .agg(F.max(label).cast("int").alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(most)
-    )
-    # An id with several rows still gives one.
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
-    return sorted((x.text, x.y) for x in got.select("text", "y").where("text is not null").collect())
-
-
 def toxicity_model(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Lexicon:
     return learn(labelled_sample(docs, labels, "toxic", 4, 2, most))
 
