@@ -118,10 +118,10 @@ def searched(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         cols: list[list[int]] = [[], [], []]
         if left.num_rows and right.num_rows:
-            x, q = matrix(left["e"]), matrix(right["e"])
+            x, q = matrix(left["e"]), matrix(right["q"])
             width = max(x.shape[1], q.shape[1])
             x, q = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, q))
-            own = np.asarray(right["id"])
+            own = np.asarray(right["qid"])
             bounds = np.asarray(right["bound"], dtype=np.float64)
             for me, found in zip(own.tolist(), BallTree(np.asarray(left["id"]), x).search(q, own, k, bounds), strict=True):
                 for score, i in found:
@@ -139,16 +139,20 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     shards = max(LEAST_SHARDS, -(-n // SHARD_ROWS))
     blocks = max(1, -(-n_queries // BLOCK_ROWS))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int"))
-    asked = rows.where(F.col("id") % every == 0).dropDuplicates(["id", "e"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).cast("int"))
-    asked = asked.withColumn("pilot", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(shards)).cast("int"))
+    asked = rows.where(F.col("id") % every == 0).dropDuplicates(["id", "e"]).select(
+        F.col("id").alias("qid"),
+        F.col("e").alias("q"),
+        F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).cast("int").alias("block"),
+        F.pmod(F.xxhash64("id", F.lit(3)), F.lit(shards)).cast("int").alias("pilot"),
+    )
     each = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     low = F.lit(float("-inf"))
     first = written(searched(each, asked.withColumn("shard", F.col("pilot")).withColumn("bound", low), k), "top-k-first")
     # The kth score in one shard is a lower bound of the kth score in all.
     kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("kth"))
     others = (
-        asked.join(kth, asked.id == kth.query_id, "left")
-        .select("id", "e", "block", F.coalesce("kth", low).alias("bound"), F.explode(F.expr(f"filter(sequence(0, {shards - 1}), s -> s <> pilot)")).alias("shard"))
+        asked.join(kth.withColumnRenamed("query_id", "qid"), "qid", "left")
+        .select("qid", "q", "block", F.coalesce("kth", low).alias("bound"), F.explode(F.expr(f"filter(sequence(0, {shards - 1}), s -> s <> pilot)")).alias("shard"))
     )
     found = first.unionByName(searched(each, others, k)).distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
