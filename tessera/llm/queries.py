@@ -64,9 +64,9 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, x -> floor(256 * x::double)) as e from embeddings
+  select vec_id, [floor(256 * x::double) for x in embedding] as e from embeddings
   where vec_id is not null and embedding is not null
-    and len(list_filter(embedding, x -> x is not null and isfinite(x))) = len(embedding)
+    and len([x for x in embedding if x is not null and isfinite(x)]) = len(embedding)
 ), s as (
   select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
   from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0
