@@ -13,6 +13,7 @@ from .decontaminate import decontaminate
 from .html_text import extract
 from .pii import surrogates
 from .quality import quality, quality_model
+from .simhash import near_duplicates
 from .topk import top_k
 from .toxicity import toxicity, toxicity_model
 
@@ -32,6 +33,10 @@ def digests(out: DataFrame) -> DataFrame:
     )
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(bpe_encode_decode(table(spark, sf_dir, "documents"), word_tokenizer()))
 
@@ -80,5 +85,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs, quality_model(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op5_html": op5_html, "op6_pii": op6_pii, "op7_decontaminate": op7_decontaminate, "op9_topk": op9_topk, "op10_quality": op10_quality}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op5_html": op5_html, "op6_pii": op6_pii, "op7_decontaminate": op7_decontaminate, "op9_topk": op9_topk, "op10_quality": op10_quality}
 ORACLE_SQL: dict[str, str] = {"op9_topk": OP9_SQL}
