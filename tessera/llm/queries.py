@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import licenses
 from .bpe import bpe_encode_decode
 from .common import table
 from .decontaminate import decontaminate
@@ -63,6 +64,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_entities", "kinds", F.sha2("text", 256).alias("text_sha256"), "text")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
@@ -85,5 +90,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs, quality_model(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op5_html": op5_html, "op6_pii": op6_pii, "op7_decontaminate": op7_decontaminate, "op9_topk": op9_topk, "op10_quality": op10_quality}
-ORACLE_SQL: dict[str, str] = {"op9_topk": OP9_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op5_html": op5_html, "op6_pii": op6_pii, "op7_decontaminate": op7_decontaminate, "op8_licenses": op8_licenses, "op9_topk": op9_topk, "op10_quality": op10_quality}
+ORACLE_SQL: dict[str, str] = {"op8_licenses": licenses.oracle_sql(), "op9_topk": OP9_SQL}
