@@ -15,6 +15,7 @@ from .html_text import extract
 from .pii import surrogates
 from .quality import quality, quality_model
 from .simhash import near_duplicates
+from .suffixes import remove_repeats
 from .topk import top_k
 from .toxicity import toxicity, toxicity_model
 
@@ -47,6 +48,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
@@ -90,5 +98,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs, quality_model(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op5_html": op5_html, "op6_pii": op6_pii, "op7_decontaminate": op7_decontaminate, "op8_licenses": op8_licenses, "op9_topk": op9_topk, "op10_quality": op10_quality}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op4_suffixes": op4_suffixes, "op5_html": op5_html, "op6_pii": op6_pii, "op7_decontaminate": op7_decontaminate, "op8_licenses": op8_licenses, "op9_topk": op9_topk, "op10_quality": op10_quality}
 ORACLE_SQL: dict[str, str] = {"op8_licenses": licenses.oracle_sql(), "op9_topk": OP9_SQL}
