@@ -39,19 +39,26 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.Table | None], schema: str, most: int = 2000) -> DataFrame:
+def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.Table | None], schema, most: int = 2000) -> DataFrame:
     """f on slices of at most ``most`` rows, so that a worker holds few texts at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, most):
                 out = f(batch.slice(at, most))
-                if out is not None:
+                if isinstance(out, pa.RecordBatch):
+                    yield out
+                elif out is not None:
                     yield from out.to_batches()
 
     return df.mapInArrow(run, schema)
 
 
+def replace_rows(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], most: int = 500) -> DataFrame:
+    """f on slices of all columns; it gives rows with the same columns."""
+    return map_arrow(df, f, df.schema, most)
+
+
 def remainder(column: str, by: int):
     """crc32 of the id written as text, modulo ``by``: the folds of the labelled rows."""
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(by))

@@ -10,7 +10,8 @@ fewer), at least ``SHARE`` of the words are the same, or so many of the whole it
 
 Words are runs of ASCII letters and digits and of other non-ASCII bytes, with A-Z lowered. Null or empty texts on either
 side have no words and match nothing; items of fewer than ``LEAST`` words can't be told from chance and match nothing;
-repeated rows on the document side each give their rows, repeated items of one id are one. Only ids and texts are read.
+repeated rows on the document side each give their rows; an item that is there twice is one, and texts
+that share an item's id are items of their own. Only ids and texts are read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, replace_rows
 
 # Places that a mask looks at.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 6, 7), (0, 1, 4, 6, 8), (0, 3, 4, 7, 9))
@@ -138,28 +139,50 @@ def blocks(benchmark: DataFrame) -> list[DataFrame]:
     return [b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
+def overlaps_of(of: Items, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
+    """What Items.overlaps gives for a column of texts."""
+    parts = [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
+    h, at = words(b"\n".join(parts))
+    return list(of.overlaps(h, np.searchsorted(at, np.concatenate([[0], np.cumsum([len(x) + 1 for x in parts])]))))
+
+
+def sent_items(docs: DataFrame, part: DataFrame):
+    """A block of the benchmark, bounded by BLOCK_BYTES, for every task."""
+    return docs.sparkSession.sparkContext.broadcast(Items([(r.item_id, r.text) for r in part.distinct().collect()]))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, n_items_words, n_same, first_word, last_word) for each pair that overlaps."""
+    """(doc_id, item_id, n_item_words, n_same, first_word, last_word) for each pair that overlaps."""
     kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+    names = ["doc_id", "item_id", "n_item_words", "n_same", "first_word", "last_word"]
     schema = f"doc_id {kind}, item_id {item_kind}, n_item_words long, n_same long, first_word long, last_word long"
     out = None
     for part in blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(Items([(r.item_id, r.text) for r in part.distinct().collect()]))
+        sent = sent_items(docs, part)
 
         def run(batch: pa.RecordBatch, sent=sent) -> pa.Table | None:
-            of, texts = sent.value, batch.column(1).cast(pa.binary())
-            ids = batch.column(0)
-            data = b"\n".join(x or b"" for x in texts.to_pylist())
-            sizes = np.array([len(x.as_py() or b"") + 1 for x in texts], np.int64)
-            h, at = words(data)
-            doc_start = np.searchsorted(at, np.concatenate([[0], np.cumsum(sizes)]))
-            rows = list(of.overlaps(h, doc_start))
+            of = sent.value
+            rows = overlaps_of(of, batch.column(1))
             if not rows:
                 return None
             d, i, n, first, last = zip(*rows, strict=True)
-            cols = [ids.take(pa.array(d)), pa.array([of.ids[x] for x in i]), pa.array([int(of.end[x] - of.start[x]) for x in i]), pa.array(n), pa.array(first), pa.array(last)]
-            return pa.table(cols, names=["doc_id", "item_id", "n_item_words", "n_same", "first_word", "last_word"])
+            cols = [batch.column(0).take(pa.array(d)), pa.array([of.ids[x] for x in i]), pa.array([int(of.end[x] - of.start[x]) for x in i]), pa.array(n), pa.array(first), pa.array(last)]
+            return pa.table(cols, names=names)
 
         found = map_arrow(docs.select("doc_id", "text"), run, schema, 400)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs, all columns, without the rows that overlap with an item."""
+    for part in blocks(benchmark):
+        sent = sent_items(docs, part)
+
+        def run(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
+            stays = np.ones(batch.num_rows, bool)
+            stays[[row[0] for row in overlaps_of(sent.value, batch.column("text"))]] = False
+            return batch.filter(pa.array(stays))
+
+        docs = replace_rows(docs, run, 400)
+    return docs

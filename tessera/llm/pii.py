@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, replace_rows
 
 KINDS = ("card", "email", "ip", "name", "phone", "secret", "ssn")
 # Letters that may stand for each other, by script and kind.
@@ -221,6 +221,24 @@ def surrogates(docs: DataFrame, key: bytes) -> DataFrame:
     return map_arrow(own, run, f"doc_id {kind}, text string, n_entities long, kinds string")
 
 
+def with_surrogates(docs: DataFrame, key: bytes) -> DataFrame:
+    """docs, all columns, with the entities of ``text`` replaced; n_chars, if there is one, follows a text that has changed."""
+    of = Surrogates(key)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        old = batch.column("text").to_pylist()
+        new = [replaced(t, s, of) if t and (s := found(t)) else t for t in old]
+        names = batch.schema.names
+        out = batch.set_column(names.index("text"), batch.schema.field("text"), pa.array(new, batch.schema.field("text").type))
+        if "n_chars" in names:
+            field = batch.schema.field("n_chars")
+            n = [len(b) if a != b else c for a, b, c in zip(old, new, batch.column("n_chars").to_pylist(), strict=True)]
+            out = out.set_column(names.index("n_chars"), field, pa.array(n, field.type))
+        return out
+
+    return replace_rows(docs, run)
+
+
 def entities(docs: DataFrame, key: bytes) -> DataFrame:
     """(doc_id, kind, start, end, entity, surrogate) for each entity found; places count characters from 0."""
     of = Surrogates(key)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, map_arrow, remainder
+from .common import labelled_sample, map_arrow, remainder, replace_rows
 
 MOST = 12_000
 THRESHOLD = 0.3
@@ -207,3 +207,13 @@ def toxicity(docs: DataFrame, model: Lexicon) -> DataFrame:
 
     out = map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double")
     return out.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, model: Lexicon) -> DataFrame:
+    """docs, all columns, without the rows whose score reaches the threshold."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array([sent.value.score(t) < THRESHOLD for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return replace_rows(docs, run)
