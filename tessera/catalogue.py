@@ -221,9 +221,9 @@ def bpe_merges_text(spark, sf_dir):
     return merge_table(spark, merges.train_one(text_words(spark, sf_dir, "documents"), K))
 
 
-@query("bpe_merges_local", O.statement(*O.text_words("conversations"), *O.training(), final=MERGES))
-def bpe_merges_local(spark, sf_dir):
-    return merge_table(spark, merges.train_local(text_words(spark, sf_dir, "conversations"), K))
+@query("bpe_merges_distributed", O.statement(*O.text_words("conversations"), *O.training(), final=MERGES))
+def bpe_merges_distributed(spark, sf_dir):
+    return merge_table(spark, merges.train_one(text_words(spark, sf_dir, "conversations"), K, most=0))
 
 
 @query("bpe_encode_lengths", O.statement(*O.trained_notes(), final=f"select {O.tokens_in('sym')}::bigint as n_tokens, count(*) as n_distinct_words, sum(n)::bigint as n_words from w{K} group by 1"))
@@ -383,10 +383,10 @@ STREAM = "stream as materialized (select file_id, chunk_idx, s[j] as sym, row_nu
 
 @query(
     "positional_windows",
-    O.statement(*O.trained_notes(), EACH_ENCODED, STREAM, final=f"select file_id, at_ // {WINDOW} as win, count(*) filter (where sym in ('900000', '900001')) as n_marked, min_by(sym, at_) as first_sym, max_by(sym, at_) as last_sym from stream group by file_id, at_ // {WINDOW} having count(*) = {WINDOW}"),
+    O.statement(*O.trained_notes(), EACH_ENCODED, STREAM, final=f"select file_id, at_ // {WINDOW} as win, count(*) filter (where sym in ('M00000', 'M00001')) as n_marked, min_by(sym, at_) as first_sym, max_by(sym, at_) as last_sym from stream group by file_id, at_ // {WINDOW} having count(*) = {WINDOW}"),
 )
 def positional_windows(spark, sf_dir):
-    return windows.packed_windows(windows.id_stream(encoded_words(spark, sf_dir)[0]), WINDOW, ["900000", "900001"])
+    return windows.packed_windows(windows.id_stream(encoded_words(spark, sf_dir)[0]), WINDOW, ["M00000", "M00001"])
 
 
 @query(
@@ -460,7 +460,7 @@ def double_vocab(spark, sf_dir):
     O.statement(
         *O.trained_notes(),
         "e0 as (select word as sym, word as x from (select lpad(idx::varchar, 6, '0') as word from vocab))",
-        *[f"e{m + 1} as materialized (select * from e{m} union all select '{900000 + m}', a.x || '+' || b.x from top{m} join e{m} a on a.sym = l join e{m} b on b.sym = r)" for m in range(K)],
+        *[f"e{m + 1} as materialized (select * from e{m} union all select 'M{m:05d}', a.x || '+' || b.x from top{m} join e{m} a on a.sym = l join e{m} b on b.sym = r)" for m in range(K)],
         f"m as (select rank, a.x as l, b.x as r from ({O.merges()}) join e{K} a on a.sym = l join e{K} b on b.sym = r)",
         final="""select rank::bigint as rank, l as "left", r as "right", false as is_ctrl from m union all select rank + (select count(*) from m), 'ctrl:' || l, 'ctrl:' || r, true from m""",
     ),

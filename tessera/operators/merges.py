@@ -3,34 +3,32 @@
 A word is a string of symbols [dddddd], a merge a plain replacement of two neighbours by a new symbol, left to right and not
 overlapping. As merges never cross a word, all of training, encoding and counting works on distinct words with their
 number; the corpus is read once to count them. The most frequent pair is merged, ties going to the smaller left, then right
-symbol; the symbol of merge m is FIRST + m, so that symbols order as ids do. Several corpora (column ``grp``) train in the
+symbol; the symbol of merge m is M and m in five digits, so that
+symbols order as ids do. Several corpora (column ``grp``) train in the
 same jobs. Merges of a small ladder are prefixes of those of a large one: the largest is trained, once.
 
-For many merges the pairs of the whole table are counted anew for each; where the distinct words fit a bound that is
-checked, ``train_local`` takes them to one place and updates counts only around what a merge touches. Both give the same
-merges.
+A merge costs two small jobs over all distinct words. Where these are so few that they fit a bound, which is checked, they are
+taken to one place instead and only what a merge touches is looked at. Both ways give the same merges.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.quantize import ratio
 from ..plans.tables import settled
 
-FIRST = 900_000
-LOCAL_WORDS = 2_000_000
+LOCAL_WORDS = 2_000_000  # some 300 MB on the driver
 
 Merges = dict[str, list[tuple[str, str, str]]]  # group -> (left, right, made), in order
 
 
 def made(m: int) -> str:
-    return f"{FIRST + m:06d}"
+    return f"M{m:05d}"
 
 
 def symbols(word: Column) -> Column:
@@ -48,7 +46,8 @@ def of_characters(words: DataFrame) -> DataFrame:
 
 def pairs(words: DataFrame, *by: str) -> DataFrame:
     """(l, r, n): neighbours, weighted by how often their word stands."""
-    s = words.select(*by, "n", symbols(F.col("word")).alias("s")).where(F.size("s") > 1)
+    # No filter on the number of symbols: it would be pushed below the count of words and split every word of the corpus.
+    s = words.select(*by, "n", symbols(F.col("word")).alias("s"))
     each = s.select(*by, "n", F.inline(F.arrays_zip(F.slice("s", F.lit(1), F.size("s") - 1).alias("l"), F.slice("s", F.lit(2), F.size("s") - 1).alias("r"))))
     return each.groupBy(*by, "l", "r").agg(F.sum("n").alias("n"))
 
@@ -70,80 +69,99 @@ def applied_by_group(word: Column, merges: Merges, upto: int, start: int = 0) ->
     return word if out is None else out.otherwise(word)
 
 
-def train(words: DataFrame, k: int) -> Merges:
-    """k merges for each group of (grp, word, n), or fewer if no pair is left.
-
-    Each merge is one aggregation with partial sums on the map side; what comes to the driver is one row for each group.
-    """
+def train(words: DataFrame, k: int, most: int = LOCAL_WORDS) -> Merges:
+    """k merges for each group of (grp, word, n), or fewer if no pair is left: in one place, if so few distinct words fit there."""
     words = settled(words.select("grp", "word", "n"))
+    if words.limit(most + 1).count() > most:
+        return train_distributed(words, k)
+    table: dict[str, tuple[list[str], list[int]]] = {}
+    rows = words.toArrow()
+    for g, w, n in zip(rows["grp"].to_pylist(), rows["word"].to_pylist(), rows["n"].to_pylist(), strict=True):
+        of = table.setdefault(g, ([], []))
+        of[0].append(w)
+        of[1].append(n)
+    return {g: m for g, of in table.items() if (m := merges_of(*of, k))}
+
+
+def train_distributed(words: DataFrame, k: int) -> Merges:
+    """Pairs are counted once over all words; a merge then changes the counts of pairs in the words that hold its pair, and only
+    those are looked at. Counts of pairs are a table, too; what comes to the driver is one row for each group and merge.
+    """
+    spread = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = settled(words.select("grp", "word", "n").repartition(spread, "word"))
+    counts = settled(pairs(words, "grp"))
     merges: Merges = {}
-    top = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("n"), "l", "r"))
-    now, done = words, 0
+    done = 0
     for m in range(k):
-        best = pairs(now, "grp").withColumn("top", top).where("top = 1").collect()
+        best = counts.groupBy("grp").agg(F.min(F.struct((-F.col("n")).alias("n"), "l", "r")).alias("x")).collect()
         if not best:
             break
+        last = applied_by_group(F.col("word"), merges, m, done)
+        for r in best:
+            merges.setdefault(r.grp, []).append((r.x.l, r.x.r, made(m)))
+        if m + 1 == k:
+            break
+        if m - done == 16:  # the plan has a replacement for each merge; begin anew from a table now and then
+            words, done, last = settled(words.withColumn("word", last)), m, F.col("word")
+        held = None
         for r in best:
-            merges.setdefault(r.grp, []).append((r.l, r.r, made(m)))
-        if m - done == 15:  # the plan has a replacement for each merge; begin anew from a table now and then
-            now, done = settled(words.withColumn("word", applied_by_group(F.col("word"), merges, m + 1, done))), m + 1
-            words = now
-        else:
-            now = words.withColumn("word", applied_by_group(F.col("word"), merges, m + 1, done))
+            holds = (F.col("grp") == r.grp) & F.contains("word", F.lit(f"[{r.x.l}][{r.x.r}]"))
+            held = holds if held is None else held | holds
+        touched = words.withColumn("word", last).where(held)
+        now = touched.withColumn("word", applied_by_group(F.col("word"), {g: x for g, x in merges.items() if len(x) == m + 1}, m + 1, m))
+        change = pairs(now, "grp").unionByName(pairs(touched.withColumn("n", -F.col("n")), "grp"))
+        counts = settled(counts.unionByName(change).groupBy("grp", "l", "r").agg(F.sum("n").alias("n")).where("n > 0"))
     return merges
 
 
-def train_one(words: DataFrame, k: int) -> list[tuple[str, str, str]]:
-    return train(words.withColumn("grp", F.lit("all")), k).get("all", [])
-
-
-def train_local(words: DataFrame, k: int, most: int = LOCAL_WORDS) -> list[tuple[str, str, str]]:
-    """The same for many merges, on the driver; beyond ``most`` distinct words the distributed way is taken."""
-    if words.limit(most + 1).count() > most:
-        return train_one(words, k)
-    table = [(r.word[1:-1].split("]["), r.n) for r in words.select("word", "n").toLocalIterator()]
-    return merges_of([list(w) for w, _ in table], [n for _, n in table], k)
-
-
-def merges_of(words: list[list[str]], counts: list[int], k: int) -> list[tuple[str, str, str]]:
-    total: Counter = Counter()
-    where: dict[tuple[str, str], set[int]] = defaultdict(set)
-    for i, w in enumerate(words):
-        for p in zip(w, w[1:], strict=False):
-            total[p] += counts[i]
-            where[p].add(i)
-    heap = [(-n, p) for p, n in total.items()]
+def train_one(words: DataFrame, k: int, most: int = LOCAL_WORDS) -> list[tuple[str, str, str]]:
+    return train(words.withColumn("grp", F.lit("all")), k, most).get("all", [])
+
+
+def merges_of(words: list[str], counts: list[int], k: int) -> list[tuple[str, str, str]]:
+    """The same on flat arrays: all symbols of all words, and which word each stands in. A merge looks at its places only."""
+    flat = np.frombuffer("".join(words).encode(), np.uint8).reshape(-1, 8)[:, 1:7]
+    names, s = np.unique(np.ascontiguousarray(flat).view("S6").ravel(), return_inverse=True)
+    name = [x.decode() for x in names.tolist()]
+    sizes = np.array([len(w) // 8 for w in words], np.int64)
+    w = np.repeat(np.arange(len(sizes)), sizes)
+    n = np.asarray(counts, np.int64)
+    total: dict[int, int] = {}
+    wide = 1 << 31
+
+    def change(at: np.ndarray, sign: int) -> set[int]:
+        """Counts of the pairs that begin at these places, added or taken away."""
+        at = np.unique(at)
+        at = at[(at >= 0) & (at + 1 < len(s))]
+        at = at[w[at] == w[at + 1]]
+        keys, back = np.unique(s[at] * wide + s[at + 1], return_inverse=True)
+        for key, c in zip(keys.tolist(), np.bincount(back, n[w[at]], len(keys)).astype(np.int64).tolist(), strict=True):
+            total[key] = total.get(key, 0) + sign * c
+        return set(keys.tolist())
+
+    heap = [(-total[key], key) for key in change(np.arange(len(s) - 1), 1)]
     heapq.heapify(heap)
     out: list[tuple[str, str, str]] = []
     while heap and len(out) < k:
-        n, p = heapq.heappop(heap)
-        if total[p] != -n:
-            if total[p] > 0:
-                heapq.heappush(heap, (-total[p], p))
-            continue
-        if n == 0:
-            break
-        new = made(len(out))
-        out.append((*p, new))
-        touched = set()
-        for i in where.pop(p, ()):
-            old = words[i]
-            for q in zip(old, old[1:], strict=False):
-                total[q] -= counts[i]
-                touched.add(q)
-            w, j = [], 0
-            while j < len(old):
-                if j + 1 < len(old) and (old[j], old[j + 1]) == p:
-                    w.append(new)
-                    j += 2
-                else:
-                    w.append(old[j])
-                    j += 1
-            words[i] = w
-            for q in zip(w, w[1:], strict=False):
-                total[q] += counts[i]
-                where[q].add(i)
-                touched.add(q)
+        c, key = heapq.heappop(heap)
+        if total.get(key, 0) != -c or not c:
+            continue  # a later entry has its present count
+        left, right = divmod(key, wide)
+        new = len(name)
+        name.append(made(len(out)))
+        out.append((name[left], name[right], name[new]))
+        at = np.flatnonzero((s[:-1] == left) & (s[1:] == right) & (w[:-1] == w[1:]))
+        if left == right:  # of places that overlap every other one, from the left
+            run = np.concatenate([[True], np.diff(at) > 1])
+            first = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - first) % 2 == 0]
+        touched = change(np.concatenate([at - 1, at, at + 1]), -1)
+        s[at] = new
+        keep = np.ones(len(s), bool)
+        keep[at + 1] = False
+        s, w = s[keep], w[keep]
+        at = at - np.arange(len(at))
+        touched |= change(np.concatenate([at - 1, at]), 1)
         for q in touched:
             if total[q] > 0:
                 heapq.heappush(heap, (-total[q], q))

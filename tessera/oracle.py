@@ -95,12 +95,12 @@ def training(k: int = K) -> list[str]:
     out = ["w0 as (select grp, word, n, word as sym from words)"]
     for m in range(k):
         out.append(f"top{m} as materialized (select grp, l, r from ({pairs_of(f'w{m}')}) qualify row_number() over (partition by grp order by c desc, l, r) = 1)")
-        out.append(f"w{m + 1} as materialized (select w.grp, word, n, case when l is null then sym else replace(sym, '[' || l || '][' || r || ']', '[{900000 + m}]') end as sym from w{m} w left join top{m} using (grp))")
+        out.append(f"w{m + 1} as materialized (select w.grp, word, n, case when l is null then sym else replace(sym, '[' || l || '][' || r || ']', '[M{m:05d}]') end as sym from w{m} w left join top{m} using (grp))")
     return out
 
 
 def merges(k: int = K) -> str:
-    return " union all ".join(f"select {m} as rank, l, r, '{900000 + m}' as made from top{m}" for m in range(k))
+    return " union all ".join(f"select {m} as rank, l, r, 'M{m:05d}' as made from top{m}" for m in range(k))
 
 
 def tokens_in(sym: str) -> str:
@@ -117,7 +117,7 @@ def expansions(k: int = K) -> list[str]:
     """toks(sym, size, original_tokens, categories), of base tokens and merges."""
     out = ["e0 as (select lpad(idx::varchar, 6, '0') as sym, [token] as toks, [category] as cats from vocab)"]
     for m in range(k):
-        out.append(f"e{m + 1} as materialized (select * from e{m} union all select '{900000 + m}', list_concat(a.toks, b.toks), list_concat(a.cats, b.cats) from top{m} join e{m} a on a.sym = l join e{m} b on b.sym = r)")
+        out.append(f"e{m + 1} as materialized (select * from e{m} union all select 'M{m:05d}', list_concat(a.toks, b.toks), list_concat(a.cats, b.cats) from top{m} join e{m} a on a.sym = l join e{m} b on b.sym = r)")
     out.append(f"toks as (select sym, len(toks) as size, array_to_string(toks, ' ') as original_tokens, array_to_string(list_sort(cats), '+') as categories, array_to_string(toks, '+') as joined from e{k})")
     out.append(f"freq as (select s as sym, sum(n)::bigint as n from (select n, unnest(string_split(sym[2:-2], '][')) as s from w{k}) group by s)")
     out.append("tf as (select t.*, coalesce(n, 0)::bigint as n from toks t left join freq using (sym))")

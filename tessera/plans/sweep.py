@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators.corpus import coarsened, counted, fine_grid, vocabulary, with_indices, words_of
+from ..functions import quantize as Q
+from ..operators.corpus import counted, fine_grid, vocabulary, with_indices, words_of
 from ..operators.merges import evaluate, train
 from ..operators.notes import notes
 from .tables import settled
@@ -21,11 +22,13 @@ def sweep_words(raw: DataFrame, standalone: bool = False) -> DataFrame:
     """(grp, word, n) with grp = factor|value."""
     parts = []
     for factor, (field, values) in FACTORS.items():
-        fine = notes(raw, fine_grid(field, values[0]))
-        for v in values:
-            n = fine if v == values[0] else coarsened(fine, field, values[0], v)
-            parts.append(n.withColumn("grp", F.lit(f"{factor}|{v:03d}")))
-    everything = reduce(DataFrame.unionByName, parts)
+        # All grids of a factor from one pass over its finest one.
+        grids = [
+            F.struct(F.lit(f"{factor}|{v:03d}").alias("grp"), *[(Q.coarser(f, F.col(f), values[0], v) if f == field and v != values[0] else F.col(f)).alias(f) for f in Q.FIELDS])
+            for v in values
+        ]
+        parts.append(notes(raw, fine_grid(field, values[0])).select("file_id", "chunk_idx", "pos", F.inline(F.array(*grids))))
+    everything = settled(reduce(DataFrame.unionByName, parts))
     vocab = vocabulary(everything, "grp")
     return counted(words_of(with_indices(everything, vocab, "grp"), standalone), "grp")
 

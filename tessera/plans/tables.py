@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,12 +14,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not where:
         where = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", where)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
     return where
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df as files in the shared folder: later jobs read those, also after executors are lost."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """df as files in the shared folder: later jobs read those, also after executors are lost. (A checkpoint computes it twice.)"""
+    path = f"{checkpoint_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
