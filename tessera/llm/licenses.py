@@ -7,8 +7,8 @@ block with c of a notice's n words shares one of the notice's n - c + 1 rarest w
 |block| - c + 1 rarest: only these prefixes are joined. Blocks with fewer than c such words are left out (length filter), as
 are pairs whose words after the shared one can't make up c (positional filter); the rest is counted exactly.
 
-Whole, lower-cased texts are read; lower() agrees with lowering A-Z alone on all phrases and notices, as no other character
-becomes one of their letters but the Kelvin sign, and none holds a k. A null text counts as empty: no words, no labels, score 0.
+Whole texts are read, with A-Z lowered: lower() does so, and of other characters only the Kelvin sign would become a letter of
+ASCII alone; it is made another one first. A null text counts as empty: no words, no labels, score 0.
 A null id keeps its row. Rows with one id and one text are one to the join and repeated in the result. The score is 1 with
 a phrase, else the largest share of a notice's words found, if that reaches the threshold, else 0.
 """
@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CONTAINED = 0.8
+CONTAINED = 0.9  # notices that differ in one of seven words must not stand for each other
 NOT_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Phrases and notices with the label of each.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -128,7 +128,7 @@ def notice_matches(docs: DataFrame) -> DataFrame:
 def scan(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row."""
     text = F.coalesce("text", F.lit(""))
-    docs = documents.select(F.col("doc_id").alias("id"), F.xxhash64(text, F.length(text)).alias("h"), F.lower(text).alias("low"))
+    docs = documents.select(F.col("doc_id").alias("id"), F.xxhash64(text, F.length(text)).alias("h"), F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u0138"))).alias("low"))
     found = notice_matches(docs).groupBy("id", "h").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
     own = phrase_places(docs).drop("low")
     found = found.withColumnsRenamed({"id": "id2", "h": "h2"})
@@ -151,7 +151,7 @@ def oracle_sql() -> str:
     phrases = ", ".join(f"('{label}', {quoted(p.split())})" for p, label in PHRASES.items())
     split = lambda x: f"list_filter(string_split(regexp_replace({x}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' '), lambda w: w <> '')"
     return f"""
-with d as (select row_number() over () as k, doc_id, lower(coalesce(text, '')) as low from documents),
+with d as (select row_number() over () as k, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low from documents),
 w as (select k, doc_id, {split('low')} as ws from d),
 notices(label, own, n, need) as (values {notices}),
 phrases(label, ps) as (values {phrases}),

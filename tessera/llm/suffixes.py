@@ -78,8 +78,10 @@ def mixed(z: np.ndarray) -> np.ndarray:
 
 def by_key(key: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """(value, its places) for each value of key."""
+    if not len(key):
+        return []
     order = np.argsort(key, kind="stable")
-    edge = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else np.zeros(0, np.int64)
+    edge = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
     return [(int(key[order[a]]), order[a:b]) for a, b in zip(edge, [*edge[1:], len(key)], strict=True)]
 
 

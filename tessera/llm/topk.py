@@ -7,7 +7,7 @@ there goes along to all others, where most nodes then need no look. Scores are e
 
 Components are floor(256 * x). Rows that are null, hold a null or non-finite component, or have no id take no part; vectors
 of different length are compared as if the shorter went on with zeros; a query's own row is every row with its id, and
-repeated rows count as often as they stand there, as queries too (their answers are the same and are returned once).
+repeated rows count as often as they stand there, as queries too (their answers are the same and are returned once). Components so large that a score wouldn't fit a long raise an error.
 """
 
 from __future__ import annotations
@@ -83,6 +83,8 @@ class BallTree:
         # The bounds of all nodes at once, with room for rounding.
         upper = queries @ self.centres.T + norms[:, None] * self.radii[None]
         upper += 1e-9 * (1 + norms[:, None] * self.scale)
+        if np.abs(queries).max(initial=0) * np.abs(self.x).max(initial=0) * max(1, queries.shape[1]) >= 2**62:
+            raise ValueError("scores of such large components don't fit a long")
         ints = None if self.exact and (np.abs(queries).max(initial=0) * self.scale * np.sqrt(queries.shape[1]) < 2**53) else self.x.astype(np.int64)
         out = []
         for q, me, bound, up in zip(queries, own.tolist(), bounds.tolist(), upper, strict=True):
