@@ -13,6 +13,10 @@ neighbours in the suffix array share exactly that many bytes, the place is marke
 packed keys of the sort give the first eight values. At ``LENGTH`` this stops: what isn't marked has at least so many bytes
 in common, and the intervals left are the classes of equal strings. Each class has its smallest document.
 
+An anchor can be in a third of all documents, with a different segment around it in each. Anchors that a sample of documents
+shows to be that frequent (there can't be more than a fixed number of them, see ``frequent``) don't go to one bucket: their
+segments are spread over buckets by document and taken apart into strings, of which partial minima meet by value.
+
 Texts are UTF-8 bytes; a null text is empty. Nothing crosses a document or a segment's end. Rows with one id never count as
 earlier than each other. Rows without an id are neither earlier nor later than others and stay whole. Texts shorter than
 ``LENGTH`` bytes stay whole. Every row gives one row.
@@ -33,7 +37,8 @@ LENGTH, GRAM = 50, 16
 GRAMS = LENGTH - GRAM + 1  # places for the anchor in a string
 SIDE = (LENGTH - GRAM) // 2  # a string holds that many bytes on one side of its anchor at least
 BUCKET, DOCS = 500_000, 2_000
-TEXT, SPANS, WANTED, PLACES = 0, 1, 2, 3
+FREQUENT, FREQUENT_SHARE, SAMPLED = 200_000, 1e-4, 32  # segments of an anchor; and at least this share of documents; one in so many is looked at
+TEXT, SPANS, WANTED, PLACES, SPREAD = 0, 1, 2, 3, 4
 
 
 def gram_hashes(data: bytes) -> np.ndarray:
@@ -356,6 +361,69 @@ def finished(ids: list[int | None], texts: list[bytes], spans: dict[tuple[int, i
     })
 
 
+def frequent(own: DataFrame, n: int, size: int) -> np.ndarray:
+    """Anchors with about FREQUENT segments or more, in at least FREQUENT_SHARE of the documents' number.
+
+    A document has a segment for each 18 bytes or so, so there are at most (segments of a document) / FREQUENT_SHARE of them
+    whatever the number of documents: some two million, or 15 MB, go to every task. What the sample misses goes the usual way,
+    with the same result.
+    """
+    least = max(FREQUENT, n * FREQUENT_SHARE)
+    if size < least * SAMPLED / 8:
+        return np.zeros(0, np.uint64)
+
+    def count(batch: pa.RecordBatch) -> pa.Table:
+        found = [segments(t)[0] for t in (x or b"" for x in batch.column(0).cast(pa.binary()).to_pylist()) if len(t) >= LENGTH]
+        anchors, times = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+        return pa.table({"anchor": pa.array(anchors.view(np.int64)), "times": pa.array(times, pa.int64())})
+
+    some = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("text")
+    sums = map_arrow(some, count, "anchor long, times long").groupBy("anchor").agg(F.sum("times").alias("times"))
+    rows = sums.where(F.col("times") * SAMPLED >= least).select("anchor").toArrow()
+    return np.sort(np.asarray(rows["anchor"]).astype(np.int64).view(np.uint64))
+
+
+def spread(s: dict[str, np.ndarray], texts: dict[tuple[int, int], bytes], first_bucket: int, doc_buckets: int) -> list[tuple[int, int, bytes]]:
+    """Segments of frequent anchors with their bytes, by document."""
+    out = []
+    for b, p in by_key(doc_bucket(s["doc"], doc_buckets)):
+        own = {k: v[p] for k, v in s.items()}
+        parts = [texts[d, m][a : a + c + LENGTH - 1] for d, m, a, c in zip(own["doc"].tolist(), own["mark"].tolist(), own["at"].tolist(), own["count"].tolist(), strict=True)]
+        out.append((SPREAD, first_bucket + b, packed(own, b"".join(parts))))
+    return out
+
+
+def strings_of(blob: bytes) -> pa.Table:
+    """(string, doc, mark, at): every string of spread segments."""
+    s, (data,) = unpacked([blob], SEGMENT)
+    count = s["count"].astype(np.int64)
+    base = np.cumsum(count + LENGTH - 1) - (count + LENGTH - 1)
+    inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    at = np.repeat(base, count) + inner
+    return pa.table({
+        "string": pa.array([data[a : a + LENGTH] for a in at.tolist()], pa.binary()), "doc": pa.array(np.repeat(s["doc"], count)),
+        "mark": pa.array(np.repeat(s["mark"], count).astype(np.int64)), "at": pa.array(np.repeat(s["at"].astype(np.int64), count) + inner),
+    })
+
+
+def spans_of_strings(rows: DataFrame, doc_buckets: int) -> DataFrame:
+    """Spans, as packed rows, of the spread strings that an earlier document has.
+
+    The least document of a string comes from partial minima; it is a table before it is joined, so that a string which very
+    many documents have is split on the side of these.
+    """
+    schema = "string binary, doc long, mark long, at long"
+    strings = map_arrow(rows.select("data"), lambda b: pa.concat_tables([strings_of(x) for x in b.column(0).to_pylist()]), schema, 4)
+    least = written(strings.groupBy("string").agg(F.min("doc").alias("least")), "least-of-strings")
+    gone = strings.join(least, "string").where("least < doc").select("doc", "mark", "at")
+
+    def pack(batch: pa.RecordBatch) -> pa.Table:
+        doc, mark, at = (np.asarray(batch.column(k)) for k in range(3))
+        return as_table(rows_of(SPANS, doc_bucket(doc, doc_buckets), {"doc": doc, "mark": mark, "at": at, "end": at + LENGTH}))
+
+    return map_arrow(gone, pack, ROWS, 100_000)
+
+
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, removed: runs of bytes that go, kept: the rest) for each row."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -367,11 +435,23 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     def texts_of(batch: pa.RecordBatch | pa.Table) -> tuple[list[int], list[bytes]]:
         return batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
 
+    often = docs.sparkSession.sparkContext.broadcast(frequent(own, n, size))  # of a bounded size
+
     def emit(batch: pa.RecordBatch) -> pa.Table:
-        s = cut(*texts_of(batch))
-        return as_table(rows_of(TEXT, anchor_bucket(s["anchor"], anchor_buckets), s))
+        ids, texts = texts_of(batch)
+        s = cut(ids, texts)
+        rows = []
+        if len(often.value):
+            many = np.isin(s["anchor"], often.value)
+            if many.any():
+                of = {(i, text_mark(t)): t for i, t in zip(ids, texts, strict=True)}
+                rows = spread({k: v[many] for k, v in s.items()}, of, anchor_buckets, doc_buckets)
+                s = {k: v[~many] for k, v in s.items()}
+        return as_table(rows + rows_of(TEXT, anchor_bucket(s["anchor"], anchor_buckets), s))
 
     def meet(key: tuple, group: pa.Table) -> pa.Table:
+        if key[0].as_py() >= anchor_buckets:
+            return as_table([(SPREAD, key[0].as_py(), d) for d in group["data"].to_pylist()])
         s, _ = unpacked(group["data"].to_pylist(), SEGMENT)
         return as_table(met(s, doc_buckets, key[0].as_py()))
 
@@ -425,6 +505,8 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
 
     waiting = found.where(F.col("kind") == PLACES)
     spans = replies.unionByName(waiting).groupBy("bucket").applyInArrow(compare, ROWS).unionByName(found.where(F.col("kind") == SPANS))
+    if len(often.value):
+        spans = spans.unionByName(spans_of_strings(found.where(F.col("kind") == SPREAD), doc_buckets))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         s, _ = unpacked(right["data"].to_pylist(), SPAN)

@@ -142,6 +142,23 @@ def test_repeats_of_pasted_parts(make, seed, monkeypatch):
     assert removed(make(rows)) == plain_removal(rows)
 
 
+def test_repeats_around_frequent_anchors(make, monkeypatch):
+    rng = random.Random(8)
+    line = "this line of more than fifty bytes stands in very many documents."
+    rows = [(k, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(rng.randint(0, 30))) + "\n" + line * rng.randint(0, 2) + "\n" + str(rng.random())) for k in range(150)]
+    rows += [(150 + k, "De " * rng.randint(10, 90)) for k in range(20)]
+    want = plain_removal(rows)
+    docs = make(rows)
+    assert removed(docs) == want
+    monkeypatch.setattr(suffixes, "FREQUENT", 20)
+    monkeypatch.setattr(suffixes, "SAMPLED", 2)
+    monkeypatch.setattr(suffixes, "DOCS", 20)
+    own = docs.select("doc_id", "text")
+    often = suffixes.frequent(own, len(rows), 10**6)
+    assert 0 < len(often)
+    assert removed(docs) == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab", min_size=50, max_size=140), min_size=1, max_size=6))
 def test_classes_of_suffixes(parts):
