@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import map_arrow
+from .common import map_arrow, spread
 
 END = 256  # added to the symbol of a word's last byte
 WORDS_KEPT = 400_000
@@ -222,4 +222,4 @@ def bpe_encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", tex
         ids = [of.encode(t) for t in batch.column(1).to_pylist()]
         return pa.table({"id": batch.column(0), "ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(map(of.decode, ids), pa.string())})
 
-    return map_arrow(df.select(id_col, text_col), run, f"id {kind}, ids array<int>, decoded string", 500).withColumnRenamed("id", id_col)
+    return map_arrow(spread(df.select(id_col, text_col)), run, f"id {kind}, ids array<int>, decoded string", 500).withColumnRenamed("id", id_col)

@@ -54,6 +54,21 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.Table | None], sch
     return df.mapInArrow(run, schema)
 
 
+SMALL_SHARE = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it comes from fewer files than there are cores and has less than SMALL_SHARE bytes for each.
+
+    Only then can a file of one row group leave cores idle, and only then does it cost little to deal its rows out anew.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df.inputFiles())
+    if not 0 < files < cores or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > cores * SMALL_SHARE:
+        return df
+    return df.repartition(cores)
+
+
 def replace_rows(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], most: int = 500) -> DataFrame:
     """f on slices of all columns; it gives rows with the same columns."""
     return map_arrow(df, f, df.schema, most)

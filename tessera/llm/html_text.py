@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, spread
 
 WINDOW = 3
 STRETCH_SHARE = 0.2  # of the heaviest stretch, where no element marks the article
@@ -146,5 +146,5 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.Table:
         return pa.table({"page_id": batch.column(0), "url": batch.column(1), "text": pa.array(map(main_text, batch.column(2).to_pylist()), pa.string())})
 
-    out = map_arrow(pages.select("page_id", "url", "html"), run, f"{kinds}, text string", 500)
+    out = map_arrow(spread(pages.select("page_id", "url", "html")), run, f"{kinds}, text string", 500)
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -20,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 CONTAINED = 0.9  # notices that differ in one of seven words must not stand for each other
 NOT_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Phrases and notices with the label of each.
@@ -128,7 +130,7 @@ def notice_matches(docs: DataFrame) -> DataFrame:
 def scan(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row."""
     text = F.coalesce("text", F.lit(""))
-    docs = documents.select(F.col("doc_id").alias("id"), F.xxhash64(text, F.length(text)).alias("h"), F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u0138"))).alias("low"))
+    docs = spread(documents.select("doc_id", "text")).select(F.col("doc_id").alias("id"), F.xxhash64(text, F.length(text)).alias("h"), F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u0138"))).alias("low"))
     found = notice_matches(docs).groupBy("id", "h").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
     own = phrase_places(docs).drop("low")
     found = found.withColumnsRenamed({"id": "id2", "h": "h2"})

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, replace_rows
+from .common import map_arrow, replace_rows, spread
 
 KINDS = ("card", "email", "ip", "name", "phone", "secret", "ssn")
 # Letters that may stand for each other, by script and kind.
@@ -204,7 +204,7 @@ def replaced(text: str, spans: list[tuple[int, int, str]], of: Surrogates) -> st
 def surrogates(docs: DataFrame, key: bytes) -> DataFrame:
     """(doc_id, text with its entities replaced, n_entities, kinds as kind:count by name) for each row."""
     of = Surrogates(key)
-    own = docs.select("doc_id", "text")
+    own = spread(docs.select("doc_id", "text"))
     kind = own.schema["doc_id"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.Table:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, map_arrow, remainder
+from .common import labelled_sample, map_arrow, remainder, spread
 from .toxicity import unlike
 
 MOST = 6000
@@ -201,5 +201,5 @@ def quality(docs: DataFrame, model: Net) -> DataFrame:
         texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
         return pa.table({"doc_id": batch.column(0), "score": pa.array(sent.value.scores(texts), pa.float64())})
 
-    out = map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double", 200)
+    out = map_arrow(spread(docs.select("doc_id", "text")), run, f"doc_id {kind}, score double", 200)
     return out.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, written
+from .common import map_arrow, spread, written
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         fps = fingerprint_of([shingle_hashes(t) for t in batch.column(1).to_pylist()])
         return pa.table({"doc_id": batch.column(0), "fp": pa.array(fps.view(np.int64))})
 
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, fp long", 200)
+    return map_arrow(spread(docs.select("doc_id", "text")), run, f"doc_id {kind}, fp long", 200)
 
 
 def mixed(z: np.ndarray) -> np.ndarray:

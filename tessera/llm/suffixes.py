@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, written
+from .common import map_arrow, spread, written
 
 LENGTH, GRAM = 50, 16
 GRAMS = LENGTH - GRAM + 1  # places for the anchor in a string
@@ -383,7 +383,7 @@ def frequent(own: DataFrame, n: int, size: int) -> np.ndarray:
     return np.sort(np.asarray(rows["anchor"]).astype(np.int64).view(np.uint64))
 
 
-def spread(s: dict[str, np.ndarray], texts: dict[tuple[int, int], bytes], first_bucket: int, doc_buckets: int) -> list[tuple[int, int, bytes]]:
+def dealt(s: dict[str, np.ndarray], texts: dict[tuple[int, int], bytes], first_bucket: int, doc_buckets: int) -> list[tuple[int, int, bytes]]:
     """Segments of frequent anchors with their bytes, by document."""
     out = []
     for b, p in by_key(doc_bucket(s["doc"], doc_buckets)):
@@ -426,7 +426,7 @@ def spans_of_strings(rows: DataFrame, doc_buckets: int) -> DataFrame:
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, removed: runs of bytes that go, kept: the rest) for each row."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     own = docs.where("doc_id is not null")
     n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     doc_buckets = max(8, -(-n // DOCS))
@@ -445,7 +445,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
             many = np.isin(s["anchor"], often.value)
             if many.any():
                 of = {(i, text_mark(t)): t for i, t in zip(ids, texts, strict=True)}
-                rows = spread({k: v[many] for k, v in s.items()}, of, anchor_buckets, doc_buckets)
+                rows = dealt({k: v[many] for k, v in s.items()}, of, anchor_buckets, doc_buckets)
                 s = {k: v[~many] for k, v in s.items()}
         return as_table(rows + rows_of(TEXT, anchor_bucket(s["anchor"], anchor_buckets), s))
 

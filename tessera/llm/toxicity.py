@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, map_arrow, remainder, replace_rows
+from .common import labelled_sample, map_arrow, remainder, replace_rows, spread
 
 MOST = 12_000
 THRESHOLD = 0.3
@@ -205,7 +205,7 @@ def toxicity(docs: DataFrame, model: Lexicon) -> DataFrame:
         of = sent.value
         return pa.table({"doc_id": batch.column(0), "score": pa.array([of.score(t) for t in batch.column(1).to_pylist()], pa.float64())})
 
-    out = map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double")
+    out = map_arrow(spread(docs.select("doc_id", "text")), run, f"doc_id {kind}, score double")
     return out.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

@@ -1,5 +1,6 @@
 """op2, op5, op6, op7 and op8 against libraries, brute force, SQL and literal cases."""
 
+import itertools
 import random
 import re
 
@@ -183,6 +184,18 @@ def test_decontamination(make, texts, spark):
     assert sorted((str(r.doc_id) for r in kept.select("doc_id").collect())) == sorted(str(i) for i, _ in rows if i not in bad)
 
 
+@pytest.mark.parametrize("n", range(decontaminate.LEAST, 26))
+def test_masks_miss_no_way_to_replace_a_fifth(n):
+    places = np.array(list(itertools.combinations(range(n), int(0.2 * n + 1e-9))))
+    clear = np.ones((len(places), n), bool)
+    np.put_along_axis(clear, places, False, 1)
+    seen = np.zeros(len(clear), bool)
+    for mask in decontaminate.MASKS:
+        for at in range(n - mask[-1]):
+            seen |= clear[:, [at + m for m in mask]].all(1)
+    assert seen.all()
+
+
 def test_a_large_benchmark_is_taken_in_blocks(make, spark, monkeypatch):
     rng = random.Random(4)
     items = [(k, " ".join(f"w{rng.randrange(500)}" for _ in range(20))) for k in range(12)]
