@@ -25,6 +25,7 @@ from .common import map_arrow, spread
 END = 256  # added to the symbol of a word's last byte
 WORDS_KEPT = 400_000
 PAIRS_KEPT = 2_000_000
+BEGINNING, BEGINNINGS_KEPT = 6, 100_000
 OTHER = regex.compile(r"[^\x00-\x1b\x20-\x84\x86-\u024f]").search
 
 
@@ -62,6 +63,7 @@ class Encoder:
         self.known: dict[int, bool] = {}
         self._automaton()
         self.words: dict[str, list[int]] = {}
+        self.beginnings: dict[bytes, tuple[int, tuple[int, ...]]] = {}
         self.lib, self.byte_of = Tokenizer.from_str(text), {c: b for b, c in enumerate(names)}
         inner = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
         self.split = regex.compile(inner).findall
@@ -135,14 +137,12 @@ class Encoder:
         self.known[key] = out
         return out
 
-    def word(self, word: str) -> list[int]:
-        data = word.encode()
-        n = len(data)
-        last, node = [0] * (n + 1), 0
+    def _on(self, data: bytes, last: list[int], node: int, upto: int) -> int:
+        """Last tokens of the prefixes from len(last) bytes on up to ``upto``, appended to last; the automaton's node there."""
         goto, link, found, known, apart = self.goto.get, self.link, self.found, self.known.get, self.apart
-        for i, s in enumerate(data, 1):
-            if i == n:
-                s += END
+        n = len(data)
+        for i in range(len(last), upto + 1):
+            s = data[i - 1] + (END if i == n else 0)
             while (to := goto(node << 9 | s)) is None:
                 if not node:
                     to = 0
@@ -151,15 +151,33 @@ class Encoder:
             node = to
             for t, size in found[node]:
                 if size == i:
-                    last[i] = t
                     break
                 if (ok := known(last[i - size] << 17 | t)) is None:
                     ok = apart(last[i - size], t)
                 if ok:
-                    last[i] = t
                     break
             else:
-                raise ValueError(f"no last token for a prefix of {word!r}")
+                raise ValueError(f"no last token for a prefix of {data!r}")
+            last.append(t)
+        return node
+
+    def word(self, word: str) -> list[int]:
+        data = word.encode()
+        n = len(data)
+        if n > BEGINNING:
+            # The last tokens of a word's first prefixes are those of any word that begins so.
+            kept = self.beginnings.get(data[:BEGINNING])
+            if kept is None:
+                if len(self.beginnings) > BEGINNINGS_KEPT:
+                    self.beginnings.clear()
+                last = [0]
+                node = self._on(data, last, 0, BEGINNING)
+                self.beginnings[data[:BEGINNING]] = node, tuple(last)
+            else:
+                node, last = kept[0], list(kept[1])
+        else:
+            node, last = 0, [0]
+        self._on(data, last, node, n)
         out = []
         while n:
             out.append(t := last[n])
