@@ -63,8 +63,9 @@ def spread(df: DataFrame) -> DataFrame:
     Only then can a file of one row group leave cores idle, and only then does it cost little to deal its rows out anew.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
-    if not 0 < files < cores or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > cores * SMALL_SHARE:
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > cores * SMALL_SHARE:
+        return df  # before its files are listed
+    if not 0 < len(df.inputFiles()) < cores:
         return df
     return df.repartition(cores)
 
