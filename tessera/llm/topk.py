@@ -7,7 +7,8 @@ there goes along to all others, where most nodes then need no look. Scores are e
 
 Components are floor(256 * x). Rows that are null, hold a null or non-finite component, or have no id take no part; vectors
 of different length are compared as if the shorter went on with zeros; a query's own row is every row with its id, and
-repeated rows count as often as they stand there, as queries too (their answers are the same and are returned once). Components so large that a score wouldn't fit a long raise an error.
+repeated rows count as often as they stand there, as queries too: rows that share a query's id give one list, of the best of
+all their answers. Components so large that a score wouldn't fit a long raise an error.
 """
 
 from __future__ import annotations
@@ -115,23 +116,24 @@ class BallTree:
 
 
 def searched(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score): each block of queries against each shard it shares a (shard, block) with."""
+    """(query_id, vec_id, score, times): each block of queries against each shard it shares a (shard, block) with."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        cols: list[list[int]] = [[], [], []]
+        cols: list[list[int]] = [[], [], [], []]
         if left.num_rows and right.num_rows:
             x, q = matrix(left["e"]), matrix(right["q"])
             width = max(x.shape[1], q.shape[1])
             x, q = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, q))
             own = np.asarray(right["qid"])
             bounds = np.asarray(right["bound"], dtype=np.float64)
-            for me, found in zip(own.tolist(), BallTree(np.asarray(left["id"]), x).search(q, own, k, bounds), strict=True):
-                for score, i in found:
-                    for c, v in zip(cols, (me, i, score), strict=True):
+            found = BallTree(np.asarray(left["id"]), x).search(q, own, k, bounds)
+            for me, times, best in zip(own.tolist(), right["times"].to_pylist(), found, strict=True):
+                for score, i in best:
+                    for c, v in zip(cols, (me, i, score, times), strict=True):
                         c.append(v)
-        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score", "times"])
 
-    return rows.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(run, "query_id long, vec_id long, score long")
+    return rows.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(run, "query_id long, vec_id long, score long, times long")
 
 
 def top_k(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
@@ -141,9 +143,10 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     shards = max(LEAST_SHARDS, -(-n // SHARD_ROWS))
     blocks = max(1, -(-n_queries // BLOCK_ROWS))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int"))
-    asked = rows.where(F.col("id") % every == 0).dropDuplicates(["id", "e"]).select(
+    asked = rows.where(F.col("id") % every == 0).groupBy("id", "e").agg(F.count("*").alias("times")).select(
         F.col("id").alias("qid"),
         F.col("e").alias("q"),
+        "times",
         F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).cast("int").alias("block"),
         F.pmod(F.xxhash64("id", F.lit(3)), F.lit(shards)).cast("int").alias("pilot"),
     )
@@ -154,8 +157,9 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("kth"))
     others = (
         asked.join(kth.withColumnRenamed("query_id", "qid"), "qid", "left")
-        .select("qid", "q", "block", F.coalesce("kth", low).alias("bound"), F.explode(F.expr(f"filter(sequence(0, {shards - 1}), s -> s <> pilot)")).alias("shard"))
+        .select("qid", "q", "times", "block", F.coalesce("kth", low).alias("bound"), F.explode(F.expr(f"filter(sequence(0, {shards - 1}), s -> s <> pilot)")).alias("shard"))
     )
-    found = first.unionByName(searched(each, others, k)).distinct()
+    # Each pair of a distinct query and a row was met once; a query that stands there n times has each answer n times.
+    found = first.unionByName(searched(each, others, k)).withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k)))))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -174,6 +174,20 @@ def test_top_k_like_sql(spark):
     assert got_top(spark.read.parquet(f"{SMALL}/embeddings.parquet")) == want
 
 
+@pytest.mark.parametrize("shard_rows", [topk.SHARD_ROWS, 20])
+def test_top_k_of_repeated_rows_like_sql(spark, monkeypatch, shard_rows):
+    rng = np.random.default_rng(9)
+    rows = [(k, rng.normal(0, 0.3, 4).tolist()) for k in range(120)]
+    rows += [(201, [2.0] * 4)] * 3 + [(202, [3.0] * 4)] * 5  # candidates
+    rows += [rows[0], rows[50], rows[50], (100, [1.0, -1.0, 0.5, 0.0]), (300, [1.0] * 4)] + [(350, [-1.0] * 4)] * 7  # queries
+    monkeypatch.setattr(topk, "SHARD_ROWS", shard_rows)
+    c = duckdb.connect()
+    c.execute("create table embeddings (vec_id bigint, embedding float[])")
+    c.executemany("insert into embeddings values (?, ?)", rows)
+    want = sorted(c.execute(f"select query_id, rank, vec_id, score from ({queries.OP9_SQL})").fetchall())
+    assert got_top(embeddings_of(spark, rows)) == want
+
+
 def test_pipeline_like_a_plain_model(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     labels, items = spark.read.parquet(f"{SMALL}/labels.parquet"), spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()
