@@ -5,8 +5,10 @@ their script and kind (vowels for vowels, so that names can be read; a last lett
 shows), digits stay digits, card numbers keep a right check digit, addresses of machines stay valid, signs stay. So equal
 entities get equal surrogates in every document, different ones different surrogates, without a table of what was seen:
 the permutation can't collide. It also has no fixed point: it is a shift by a keyed step, seen through another permutation.
-Spelling variants of an entity (case, spaces and brackets in a phone number) share their letters and digits and so their
-surrogate's; the words of a name found with a title are replaced wherever the document has them.
+Spelling variants of an entity share their letters and digits and so their surrogate's: case, and in a phone number every
+sign between the digits, as it is permuted over its country's code and bare digits and then filled into its format again (a
+North American number without a code counts as one with +1; a "(0)" stays). The words of a name found with a title, as many
+as there are, are replaced wherever the document has them, its initials there only; joining words (van, de la) stay.
 ``entities`` lists what was found; ``collisions`` checks distinctness over a whole corpus.
 
 Found are: e-mail addresses, phone numbers, IPv4 addresses, card numbers with a right check digit, social security numbers,
@@ -49,7 +51,17 @@ NUMBER = re.compile(
 )
 SECRET = re.compile(r"(?<![\w])(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{32,}(?![\w])")
 BEHIND = re.compile(r"(?i)\b(?:token|secret|passwor[dt]|passwd|pwd|api[ _-]?key|access[ _-]?key)\b\s*[=:]\s*([\"']?)([^\s\"'&%*$#]{6,})\1")
-NAME = re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\.?[  ]((?:[^\W\d_a-zà-þ][^\W\d_]+)(?:[  -][^\W\d_][^\W\d_]+){{0,2}})")
+UPPER = f"[{re.escape(''.join(c for c in map(chr, range(1 << 16)) if c.isupper()))}]"
+LETTER = r"[^\W\d_]"
+# Words that join the parts of a name, and the codes of countries with fewer than three digits.
+JOINING = "de del della dello dei degli di da do dos das du des la las le los van von vom zu zum zur der den ter ten te af av al el bin ibn ben bint abu y e i".split()
+CODES = set("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+WORD = rf"(?:{UPPER}{LETTER}?['’]{LETTER}{{2,}}|{UPPER}{LETTER}+(?:['’]{UPPER}{LETTER}*)*)"
+PART = rf"(?:(?:d|l|dell|dall|all)['’])?(?!(?:{'|'.join(TITLES)})\.?[ \xa0]{UPPER})(?:{WORD}|{UPPER}(?:\.|(?=[ \xa0]{UPPER})))"
+JOINED = rf"(?:(?:{'|'.join(JOINING)})[ \xa0])*"
+# Behind a title: up to three words of any case (of these the capitalised ones count), and all parts of a capitalised name.
+NAME = re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\.?[ \xa0](?=((?:[^\W\d_a-zà-þ][^\W\d_]+)(?:[  -][^\W\d_][^\W\d_]+){{0,2}})?)(?=({JOINED}{PART}(?:(?:(?<=\.)[ \xa0-]?|[ \xa0-]){JOINED}{PART})*)?)")
+NAME_PART = re.compile(rf"(?<![^\W_])(?:({WORD})|({UPPER})(?!\w))")
 DIGITS = re.compile(r"\d")
 
 
@@ -129,19 +141,15 @@ class Surrogates:
             got = [digits[0], *map(str, self.permuted("card" + digits[0], [(int(c), 10) for c in digits[1:-1]]))]
             return self._refilled(text, [*got, str(luhn("".join(got)))])
         if kind in ("phone", "ssn"):
-            # The code of the country stays; groups that begin with 2 to 9 still do.
-            code = re.match(r"\+(?:1(?=\D)|7(?=\D)|\d{1,3})", text) if kind == "phone" else None
-            at = code.end() if code else 0
-            rest, places, fresh = text[at:], [], True
-            for c in rest:
-                if not c.isdigit():
-                    fresh = True
-                    continue
-                low = fresh and kind == "phone" and c > "1"
-                places.append((int(c) - 2, 8) if low else (int(c), 10))
-                fresh = False
-            got = self.permuted(f"{kind}{text[:at]}", places)
-            return text[:at] + self._refilled(rest, [str(v + 2 * (b == 8)) for v, (_, b) in zip(got, places, strict=True)])
+            # The code of the country stays; numbers (and in North America their exchanges) that begin with 2 to 9 still do.
+            digits, code, kept, starts = re.sub(r"\D", "", text), "", "", ()
+            if kind == "phone":
+                code = next((digits[:n] for n in (1, 2) if digits[:n] in CODES), digits[:3]) if text[0] == "+" else "1"
+                kept = code + "0" * ("(0)" in text) if text[0] == "+" else ""
+                starts = (0, 3) if code == "1" else (0,)
+            places = [(int(c), 10) if k not in starts else (int(c) - 2, 8) if c > "1" else (int(c), 2) for k, c in enumerate(digits[len(kept) :])]
+            got = self.permuted(f"{kind}{code}", places)
+            return self._refilled(text, [*kept, *(str(v + 2 * (b == 8)) for v, (_, b) in zip(got, places, strict=True))])
         if kind == "secret" and SECRET.fullmatch(text):
             got = "".join(HEX[v] for v in self.permuted("hex", [(HEX.index(c), 16) for c in text.lower()]))
             return got.upper() if text.upper() == text else got
@@ -181,9 +189,17 @@ def found(text: str) -> list[tuple[int, int, str]]:
     if "=" in text or ":" in text:
         out += [(*m.span(2), "secret") for m in BEHIND.finditer(text)]
     if any(t in text for t in TITLES):
-        names = {w for m in NAME.finditer(text) for w in re.split(r"[  -]", m[1]) if len(w) > 1 and w[0].isupper()}
+        names, titled = set(), set()
+        for m in NAME.finditer(text):
+            titled |= {w for w in re.split(r"[  -]", m[1] or "") if len(w) > 1 and w[0].isupper()}
+            for part in NAME_PART.finditer(m[2] or ""):
+                if part[1]:
+                    names.add(part[1])
+                else:
+                    out.append((m.start(2) + part.start(), m.start(2) + part.end(), "name"))
+        names |= titled - set(TITLES)
         if names:
-            word = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(names, key=lambda w: (-len(w), w))))})(?!\w)")
+            word = re.compile(rf"(?<!\w)(?:{'|'.join(re.sub("['’]", "['’]", re.escape(w)) for w in sorted(names, key=lambda w: (-len(w), w)))})(?!\w)")
             out += [(*m.span(), "name") for m in word.finditer(text)]
     apart, last = [], 0
     for s, e, kind in sorted(out, key=lambda x: (x[0], -x[1], x[2])):

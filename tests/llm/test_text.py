@@ -107,6 +107,45 @@ def test_surrogates_keep_type_and_coreference():
     assert pii.Surrogates(b"other").of("ssn", "123-45-6789") != of.of("ssn", "123-45-6789")
 
 
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("Señora María del Carmen García López spoke; García agreed", ["María", "Carmen", "García", "López", "García"]),
+        ("Mrs Anna van der Berg, and Berg again", ["Anna", "Berg", "Berg"]),
+        ("Dr. J. Smith and Smith", ["J", "Smith", "Smith"]),
+        ("Mr J.R.R. Tolkien", ["J", "R", "R", "Tolkien"]),
+        ("Mr. O'Brien and O’Brien", ["O'Brien", "O’Brien"]),
+        ("Mr Smith's dog", ["Smith"]),
+        ("Herr von Goethe", ["Goethe"]),
+        ("Herr Dr. Müller", ["Müller"]),
+        ("Mme d'Artagnan", ["Artagnan"]),
+        ("Mr Smith went to Paris. The end", ["Smith"]),
+        ("Господин Иванов пришёл в Москву", ["Иванов"]),
+    ],
+)
+def test_whole_names_behind_titles(text, names):
+    spans = pii.found(text)
+    assert [text[s:e] for s, e, _ in spans] == names
+    got = pii.replaced(text, spans, pii.Surrogates(KEY))
+    assert not any(re.search(rf"(?<!\w){n}(?!\w)", got) for n in names)
+
+
+@pytest.mark.parametrize(
+    "same",
+    [
+        ("+44 20 7946 0958", "+442079460958", "+44 (20) 7946-0958"),
+        ("+1 (974) 555-3436", "+1 974 5553436", "+19745553436", "(974) 555-3436", "974-555-3436"),
+        ("+353 1 234 5678", "+35312345678"),
+    ],
+)
+def test_phones_in_any_format_are_one(same):
+    of = pii.Surrogates(KEY)
+    assert all([k for *_, k in pii.found(x)] == ["phone"] and pii.found(x)[0][:2] == (0, len(x)) for x in same)
+    digits = [re.sub(r"\D", "", of.of("phone", x)) for x in same]
+    assert len({d[-10:] for d in digits}) == 1 and digits[0][-10:] != re.sub(r"\D", "", same[0])[-10:]
+    assert re.sub(r"\d", "", of.of("phone", same[0])) == re.sub(r"\d", "", same[0])
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(2, 4), min_size=1, max_size=5))
 def test_permutations_have_no_fixed_point(bases):
