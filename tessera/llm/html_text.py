@@ -2,7 +2,8 @@
 
 Markup is stripped into lines, one for each block element. A line counts with the length of its text, or with none if it
 stands in an element that holds no article text by its kind (navigation, forms, scripts ...) or by the words of its class,
-id or role (adverts, notices, comments ...); if the page marks an article or main element, lines outside count with none.
+id or role (adverts, notices, comments ...); such an element ends where HTML says so, also where its end tag is left out
+(at a start tag that closes it, or with its parent). If the page marks an article or main element, lines outside count with none.
 Over these lengths a window of ``WINDOW`` lines is slid. The text begins where the window's sum surges from nothing and
 ends where it dives back to nothing; of the stretches so found, those are kept that hold text of the weight of an article,
 measured against the heaviest one. In a marked article every stretch is article text. Lines without weight inside a
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,14 @@ RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe",
 NO_TEXT = {"head", "nav", "footer", "aside", "form", "select", "button", "menu", "dialog", "audio", "video", "map", "fieldset"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+# Where end tags may be left out, what start tags close, and what they and end tags don't reach beyond.
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+IN_HEAD = {"html", "head", "base", "link", "meta", *RAW}
+CELLS = {"table", "td", "th", "caption"}
+ENDS_P = HEADINGS | set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form header hgroup hr main menu nav ol p pre search section summary table ul".split())
+ROWS = {"thead", "tbody", "tfoot"}
+SAME_KIND = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
+IN_TABLE = {"td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "tr": ({"tr", "caption"}, {"table"}), **dict.fromkeys(ROWS, (ROWS | {"tr", "caption"}, {"table"}))}
 # Words in a class, id or role that mark boilerplate.
 BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo(?:tion)?|nav(?:igation|bar)?|menu|breadcrumbs?|footer|sidebar|side|"
@@ -47,13 +57,82 @@ MARKS = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']
 HIDDEN = re.compile(r"\bhidden(?:\s|$|=)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
+class Open:
+    """The elements open at a place, outermost first."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.n: Counter[str] = Counter()
+
+    def push(self, tag: str) -> None:
+        self.tags.append(tag)
+        self.n[tag] += 1
+
+    def _cut(self, at: int) -> None:
+        self.n.subtract(self.tags[at:])
+        del self.tags[at:]
+
+    def _find(self, which: set[str], stops) -> int:
+        """The place of the innermost open element of these, or -1 if there is none before one that stops the search."""
+        if any(self.n[t] > 0 for t in which):
+            for at in range(len(self.tags) - 1, -1, -1):
+                if self.tags[at] in which:
+                    return at
+                if stops(self.tags[at]):
+                    break
+        return -1
+
+    def start(self, tag: str) -> None:
+        """Ends what a start tag ends."""
+        at = -1
+        if tag not in IN_HEAD and self.n["head"]:
+            at = self._find({"head"}, lambda t: False)
+        elif tag in IN_TABLE:
+            which, stops = IN_TABLE[tag]
+            at = self._find(which, stops.__contains__)
+            if tag in ROWS:
+                while at >= 0 and (more := self._find_before(at, which)) >= 0:
+                    at = more
+        elif tag in SAME_KIND:
+            at = self._find(SAME_KIND[tag], lambda t: t not in INLINE and t not in ("address", "div", "p"))
+        if at >= 0:
+            self._cut(at)
+        if tag in ENDS_P or tag in SAME_KIND:
+            at = self._find({"p"}, lambda t: t in CELLS or t == "button")
+            if at >= 0:
+                self._cut(at)
+
+    def _find_before(self, at: int, which: set[str]) -> int:
+        for k in range(at - 1, -1, -1):
+            if self.tags[k] in which:
+                return k
+            if self.tags[k] == "table":
+                break
+        return -1
+
+    def end(self, tag: str) -> int:
+        """Ends what an end tag ends; the place of its element, or -1 if it has none."""
+        if tag in INLINE:
+            at = self._find({tag}, lambda t: t not in INLINE and t != "p")
+        elif tag in ("table", "caption") or tag in IN_TABLE:
+            at = self._find({tag}, lambda t: t == "table")
+        elif tag in ("body", "html"):
+            at = self._find({tag}, lambda t: False)
+        else:
+            at = self._find(HEADINGS if tag in HEADINGS else {tag}, lambda t: t in CELLS or tag == "li" and t in ("ul", "ol") or tag == "p" and t == "button")
+        if at >= 0:
+            self._cut(at)
+        return at
+
+
 def lines(page: str) -> tuple[list[str], list[bool], list[bool]]:
     """Texts of the blocks in page order, whether each counts, and whether it stands in a marked article."""
     texts: list[str] = []
     counts: list[bool] = []
     inside: list[bool] = []
     part: list[str] = []
-    skip, depth = "", 0  # the element whose content is passed over, and how many of its name are open
+    opened = Open()
+    skip = -1  # the place among the open elements of the one whose content is passed over
     articles: list[str] = []
 
     def end_line() -> None:
@@ -61,7 +140,7 @@ def lines(page: str) -> tuple[list[str], list[bool], list[bool]]:
         part.clear()
         if text:
             texts.append(text)
-            counts.append(not skip)
+            counts.append(skip < 0)
             inside.append(bool(articles))
 
     at = 0
@@ -80,17 +159,17 @@ def lines(page: str) -> tuple[list[str], list[bool], list[bool]]:
             part.append(" ")
         elif tag not in INLINE:
             end_line()
+        own = opened.end(tag) if close else opened.start(tag)
+        if skip >= 0 and (len(opened.tags) <= skip or close and tag in ("body", "html")):
+            end_line()
+            ended, skip = skip, -1
+            if own == ended:
+                continue
         if tag in VOID or rest.endswith("/") and tag not in NO_TEXT:
             continue
-        if skip:
-            if tag == skip:
-                depth += -1 if close else 1
-                if not depth:
-                    end_line()
-                    skip = ""
-            elif close and tag in ("body", "html"):
-                end_line()
-                skip = ""
+        if not close:
+            opened.push(tag)
+        if skip >= 0:
             continue
         if close:
             if tag in ("article", "main") and tag in articles:
@@ -100,10 +179,10 @@ def lines(page: str) -> tuple[list[str], list[bool], list[bool]]:
         if tag in NO_TEXT or tag == "header" and not articles or rest and tag not in ("html", "body", "article", "main") and marked(rest) or tag == "article" and articles and rest and marked(rest):
             if tag in INLINE:
                 end_line()
-            skip, depth = tag, 1
+            skip = len(opened.tags) - 1
         elif tag in ("article", "main"):
             if rest and marked(rest):
-                skip, depth = tag, 1
+                skip = len(opened.tags) - 1
             else:
                 articles.append(tag)
     if at < len(page):

@@ -64,6 +64,25 @@ PAGES = [
     ("<div class=cookie-notice>We use cookies</div><div><p>" + "text " * 50 + "</p></div><div class=sidebar><p>links</p></div>", ("text " * 50).strip()),
     ("<<>><p>&#x41;&bogus;</p></div></p>", "A&bogus;"),
 ]
+OPEN_PAGES = [
+    ('<body><p class="notice">Note<p>First <article><p>Article text<p>More</article></body>', "Article text\nMore"),
+    ('<div><p class="notice">Note</div><div><p>One<p>Two</div>', "One\nTwo"),
+    ('<p class=notice>Note<div>Text</div>', "Text"),
+    ('<ul><li class=ad>buy<li>one <b>item<li>two</ul>', "one item\ntwo"),
+    ('<ul><li class=ad>buy<ul><li>buy more</ul>and more<li>two</ul>', "two"),
+    ('<ul><li>one<li class=ad>buy</ul><p>after', "one\nafter"),
+    ('<dl><dt class=ad>buy<dd>text<dt>term<dd class=ad>sell</dl>after', "text\nterm\nafter"),
+    ('<table><tr class=ad><td>buy<td>sell<tr><td>one<td class=ad>x<td>two</table><p>after', "one\ntwo\nafter"),
+    ('<table><tr><td class=ad>buy<table><tr><td>in<td>ner</table>sell<tbody><tr><td>row</table>', "row"),
+    ('<div><table class=ad><tr><td>buy</div><td>sell</table>text</div>', "text"),
+    ("<html><head><meta charset=x><body><p>text</html>", "text"),
+    ('<article><p class=notice>Note</article><article><p>Text</article>', "Text"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), OPEN_PAGES)
+def test_main_text_where_end_tags_are_left_out(page, text):
+    assert html_text.main_text(page) == text
 
 
 @pytest.mark.parametrize(("page", "text"), PAGES)
