@@ -7,6 +7,10 @@ block with c of a notice's n words shares one of the notice's n - c + 1 rarest w
 |block| - c + 1 rarest: only these prefixes are joined. Blocks with fewer than c such words are left out (length filter), as
 are pairs whose words after the shared one can't make up c (positional filter); the rest is counted exactly.
 
+A notice may also be wrapped over lines: it is found in a text of several lines where as many of its distinct words follow
+each other in its order, across the ends of lines, with at most ``BETWEEN`` other words (marks of comments, words that
+the notice repeats) between two. The SQL states the blocks of one line only: it has the same rows where no notice is wrapped.
+
 Whole texts are read, with A-Z lowered: lower() does so, and of other characters only the Kelvin sign would become a letter of
 ASCII alone; it is made another one first. A null text counts as empty: no words, no labels, score 0.
 A null id keeps its row. Rows with one id and one text are one to the join and repeated in the result. The score is 1 with
@@ -16,6 +20,7 @@ a phrase, else the largest share of a notice's words found, if that reaches the
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import spread
 
 CONTAINED = 0.9  # notices that differ in one of seven words must not stand for each other
+BETWEEN = 4
 NOT_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Phrases and notices with the label of each.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -57,8 +63,34 @@ def count_words(normal_text: Column) -> Column:
     return F.when(normal_text == "", 0).otherwise(F.length(normal_text) - F.length(F.replace(normal_text, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
+def in_order(words: list[str], missing: int) -> str:
+    """A pattern for words in this order, each behind a blank, at most so many of them missing."""
+
+    def rest(k: int, missing: int, between: str) -> str:
+        if k == len(words):
+            return "(?= )"
+        own = f"{between} {words[k]}{rest(k + 1, missing, between or f'(?: [^ ]++){{0,{BETWEEN}}}?')}"
+        return f"(?:{own}|{rest(k + 1, missing - 1, between)})" if missing else own
+
+    return rest(0, missing, "")
+
+
+def wrapped_notices(low: Column, norm: Column) -> Column:
+    """Array of (label, share) of the notices whose words stand in order anywhere in a text of several lines."""
+    found = []
+    for label, notice in NOTICES.items():
+        words = list(dict.fromkeys(notice.split()))
+        n, need = len(words), least_common(len(set(words)))
+        # One of any n - need + 1 words must be there, then enough of all: few texts are left for the patterns.
+        some = reduce(Column.__or__, [F.contains(norm, F.lit(w)) for w in sorted(words, key=len)[need - 1 :]])
+        here = F.contains(low, F.lit("\n")) & some & (F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(norm, w))) >= need)
+        share = reduce(lambda x, m: x.when(F.concat(F.lit(" "), norm, F.lit(" ")).rlike(in_order(words, m)), F.lit((n - m) / n)), range(n - need + 1), F)  # noqa: B023
+        found.append(F.when(here & share.isNotNull(), F.struct(F.lit(label).alias("label"), share.alias("share"))))
+    return F.array_compact(F.array(*found))
+
+
 def phrase_places(docs: DataFrame) -> DataFrame:
-    """docs (with ``low``) and n_words, n_base, first_word, last_word, base_labels."""
+    """docs (with ``low``) and n_words, n_base, first_word, last_word, base, wrapped."""
     out = docs.withColumn("norm", normal(F.col("low"))).withColumn("n_words", count_words(F.col("norm")))
     # Every word with a blank of its own on either side: places are then plain substrings, and words before are blanks by two.
     wide = F.concat(F.lit(" "), F.replace("norm", F.lit(" "), F.lit("  ")), F.lit(" "))
@@ -86,6 +118,7 @@ def phrase_places(docs: DataFrame) -> DataFrame:
         F.least(*firsts).alias("first_word"),
         F.greatest(*lasts).alias("last_word"),
         F.array_sort(labels).alias("base"),
+        wrapped_notices(F.col("low"), F.col("norm")).alias("wrapped"),
     )
 
 
@@ -134,6 +167,7 @@ def scan(documents: DataFrame) -> DataFrame:
     found = notice_matches(docs).groupBy("id", "h").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
     own = phrase_places(docs).drop("low")
     found = found.withColumnsRenamed({"id": "id2", "h": "h2"})
+    more = F.concat(F.coalesce("more", F.array().cast("array<string>")), F.col("wrapped.label"))
     return own.join(found, own.id.eqNullSafe(found.id2) & (own.h == found.h2), "left").select(
         F.col("id").alias("doc_id"),
         "n_words",
@@ -141,8 +175,8 @@ def scan(documents: DataFrame) -> DataFrame:
         "first_word",
         "last_word",
         F.array_join("base", ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_distinct(F.concat("base", F.coalesce("more", F.array().cast("array<string>"))))), ",").alias("labels"),
-        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat("base", more))), ",").alias("labels"),
+        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce(F.greatest("share", F.array_max("wrapped.share")), F.lit(0.0))).alias("score"),
     )
 
 

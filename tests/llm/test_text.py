@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import textwrap
 
 import duckdb
 import numpy as np
@@ -297,6 +298,27 @@ def test_license_rows(make):
     assert got[1].labels == "cc-by,cc-by-nc-4.0" and got[7].labels == "no-warranty" and 0.9 <= got[7].score <= 1
 
 
+def hard_wrapped(notice, width, mark=""):
+    return "\n".join(mark + x for x in textwrap.wrap(notice.capitalize(), width))
+
+
+def test_licenses_over_lines(make):
+    rows = [(label, f"Some text.\n\n{hard_wrapped(x, width, mark)}.\nMore text") for label, x in licenses.NOTICES.items() for width, mark in ((30, ""), (45, " * "), (14, "# "), (30, "REM "))]
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+    of this software and associated documentation files (the "Software"), to deal"""
+    bsd = """Redistribution and use in source and binary forms, with or without
+    modification, are permitted provided that the following conditions are met:"""
+    gpl = """This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by"""
+    rows += [("mit-notice", mit), ("bsd", bsd), ("gpl-notice", gpl), ("mit-notice", mit.replace("charge", "cost")), ("gpl-notice", gpl.replace("terms", "rules").replace("modify", "change"))]
+    rows += [("", mit.replace("charge", "cost").replace("person", "one")), ("", "the mit license\nreleased under"), ("", "released under\n" + "far away " * 3 + "the mit license")]
+    got = {r.doc_id: r for r in licenses.scan(make([(k, t) for k, (_, t) in enumerate(rows)])).collect()}
+    for k, (label, t) in enumerate(rows):
+        assert label in got[k].labels.split(",") if label else got[k].labels == "", t
+        assert (got[k].score >= licenses.CONTAINED) == bool(label), t
+    assert got[len(rows) - 5].score == 18 / 19
+
+
 def test_licenses_run_in_the_jvm_only(make, texts):
     plan = licenses.scan(make(texts))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
