@@ -14,7 +14,7 @@ fewer), at least ``SHARE`` of the words are the same, or so many of the whole it
 Words are runs of ASCII letters and digits and of other non-ASCII bytes, with A-Z lowered. Null or empty texts on either
 side have no words and match nothing; items of fewer than ``LEAST`` words can't be told from chance and match nothing;
 repeated rows on the document side each give their rows; an item that is there twice is one, and texts
-that share an item's id are items of their own. Only ids and texts are read.
+that share an item's id are items of their own, and so are texts without an id (their item_id is null). Only ids and texts are read.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import map_arrow, replace_rows, spread
 
@@ -136,7 +137,7 @@ class Items:
 
 def blocks(benchmark: DataFrame) -> list[DataFrame]:
     """The benchmark in parts of a bounded size each; the size is measured, the parts are chosen by a hash of the id."""
-    b = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
+    b = benchmark.select("item_id", "text").where("text is not null")
     size = b.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = 1 + 2 * size // BLOCK_BYTES if size > BLOCK_BYTES else 1
     return [b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
@@ -159,6 +160,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     names = ["doc_id", "item_id", "n_item_words", "n_same", "first_word", "last_word"]
     schema = f"doc_id {kind}, item_id {item_kind}, n_item_words long, n_same long, first_word long, last_word long"
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     own, out = spread(docs.select("doc_id", "text")), None
     for part in blocks(benchmark):
         sent = sent_items(docs, part)
@@ -169,7 +171,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             if not rows:
                 return None
             d, i, n, first, last = zip(*rows, strict=True)
-            cols = [batch.column(0).take(pa.array(d)), pa.array([of.ids[x] for x in i]), pa.array([int(of.end[x] - of.start[x]) for x in i]), pa.array(n), pa.array(first), pa.array(last)]
+            cols = [batch.column(0).take(pa.array(d)), pa.array([of.ids[x] for x in i], item_type), pa.array([int(of.end[x] - of.start[x]) for x in i]), pa.array(n), pa.array(first), pa.array(last)]
             return pa.table(cols, names=names)
 
         found = map_arrow(own, run, schema, 400)

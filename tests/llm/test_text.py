@@ -266,6 +266,14 @@ def test_a_large_benchmark_is_taken_in_blocks(make, spark, monkeypatch):
     assert decontaminate.without_contaminated(docs, benchmark_of(spark, items)).count() == 0
 
 
+def test_items_without_an_id(make, spark):
+    passage = "nine words that stand in one item only here"
+    items = benchmark_of(spark, [(None, passage), (None, "another text of nine words that is not there")])
+    docs = make([(1, f"before {passage} after"), (2, "something else altogether")])
+    assert [tuple(r)[:4] for r in decontaminate.decontaminate(docs, items).collect()] == [(1, None, 9, 9)]
+    assert [r.doc_id for r in decontaminate.without_contaminated(docs, items).collect()] == [2]
+
+
 def test_decontamination_of_nothing(make, spark, texts):
     none = benchmark_of(spark, [])
     assert decontaminate.decontaminate(make(texts), none).count() == 0
