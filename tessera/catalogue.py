@@ -9,14 +9,20 @@ from pyspark.sql import functions as F
 
 from . import oracle as O
 from .functions.quantize import Grid
-from .operators import analysis, anticipation, corpus, decoding, doubling, merges, windows
+from .operators import analysis, anticipation, augment, corpus, decoding, doubling, lines, merges, windows
 from .operators import notes as N
 from .plans import sweep as S
+from .plans.tables import settled
 from .sources.notes import notes_from_events, notes_from_lineitem, words_from_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 K, LADDER, WINDOW = O.K, [0, 2, 4, 8], 64
+CHUNK = ("file_id", "chunk_idx")
+
+
+def recursive(*ctes: str, final: str) -> str:
+    return O.statement(*ctes, final=final).replace("with ", "with recursive ", 1)
 
 
 def query(name: str, sql: str | None):
@@ -98,7 +104,7 @@ def control_dictionary(spark, sf_dir):
 
 def indexed(spark, sf_dir, grid: Grid = Grid()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
     n = notes(spark, sf_dir, grid)
-    vocab = corpus.vocabulary(n)
+    vocab = settled(corpus.vocabulary(n))
     return corpus.with_indices(n, vocab), vocab
 
 
@@ -161,14 +167,19 @@ def coarsen_vs_rescan(spark, sf_dir):
 
 
 def note_words(spark, sf_dir, standalone: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Counted words and their dictionary, both settled: whoever trains on them reads them again."""
     ix, vocab = indexed(spark, sf_dir)
-    return corpus.counted(corpus.words_of(ix, standalone)), vocab
+    return settled(corpus.counted(corpus.words_of(ix, standalone))), vocab
 
 
 def text_words(spark, sf_dir, source: str) -> DataFrame:
     return merges.of_characters(words_from_text(table(spark, sf_dir, source)))
 
 
+def settled_text_words(spark, sf_dir, source: str) -> DataFrame:
+    return settled(text_words(spark, sf_dir, source))
+
+
 def grouped(words: DataFrame) -> DataFrame:
     return words.withColumn("grp", F.lit("all"))
 
@@ -218,12 +229,12 @@ def bpe_merges_notes(spark, sf_dir):
 
 @query("bpe_merges_text", O.statement(*O.text_words("documents"), *O.training(), final=MERGES))
 def bpe_merges_text(spark, sf_dir):
-    return merge_table(spark, merges.train_one(text_words(spark, sf_dir, "documents"), K))
+    return merge_table(spark, merges.train_one(settled_text_words(spark, sf_dir, "documents"), K))
 
 
 @query("bpe_merges_distributed", O.statement(*O.text_words("conversations"), *O.training(), final=MERGES))
 def bpe_merges_distributed(spark, sf_dir):
-    return merge_table(spark, merges.train_one(text_words(spark, sf_dir, "conversations"), K, most=0))
+    return merge_table(spark, merges.train_one(settled_text_words(spark, sf_dir, "conversations"), K, most=0))
 
 
 @query("bpe_encode_lengths", O.statement(*O.trained_notes(), final=f"select {O.tokens_in('sym')}::bigint as n_tokens, count(*) as n_distinct_words, sum(n)::bigint as n_words from w{K} group by 1"))
@@ -241,8 +252,8 @@ def _ladder(name: str, ctes: list[str], words_of) -> None:
 
 
 _ladder("bpe_eval_ladder_notes", O.trained_notes(), lambda s, d: note_words(s, d)[0])
-_ladder("bpe_eval_ladder_text", [*O.text_words("documents"), *O.training()], lambda s, d: text_words(s, d, "documents"))
-_ladder("bpe_eval_ladder_conversations", [*O.text_words("conversations"), *O.training()], lambda s, d: text_words(s, d, "conversations"))
+_ladder("bpe_eval_ladder_text", [*O.text_words("documents"), *O.training()], lambda s, d: settled_text_words(s, d, "documents"))
+_ladder("bpe_eval_ladder_conversations", [*O.text_words("conversations"), *O.training()], lambda s, d: settled_text_words(s, d, "conversations"))
 _ladder("bpe_onset_barrier_eval", O.trained_notes(standalone=True), lambda s, d: note_words(s, d, standalone=True)[0])
 
 # Analyses.
@@ -295,6 +306,89 @@ def component_stack(spark, sf_dir):
     return analysis.stacked({4: analysis.component_analysis(*analysed(spark, sf_dir, 4))})
 
 
+@query("component_stack_sizes", O.statement(*O.trained_notes(), *O.expansions(4, "4"), *O.expansions(8, "8"), final=f"{O.component(4, 'tf4')} union all {O.component(8, 'tf8')}"))
+def component_stack_sizes(spark, sf_dir):
+    """Two vocabularies on top of each other, of one training: the smaller one's merges are the first of the larger one's."""
+    words, vocab = note_words(spark, sf_dir)
+    rules = merges.train_one(words, 8)
+    return analysis.stacked({k: analysis.component_analysis(analysis.token_table(vocab, rules[:k]), analysis.frequencies(merges.encoded(words, rules[:k]))) for k in (4, 8)})
+
+
+# At the sizes of real vocabularies: no SQL, held against a library and a plain model in the tests.
+FULL_LADDER = [0, *(256 * 2**k for k in range(9))]
+FULL = 8192
+
+
+@query("bpe_full_ladder_text", None)
+def bpe_full_ladder_text(spark, sf_dir):
+    """0 and 256 to 65,536 merges, trained once; a size beyond what there is to merge has the counts of the last one."""
+    words = grouped(settled_text_words(spark, sf_dir, "documents"))
+    return merges.evaluate(words, merges.train(words, max(FULL_LADDER)), FULL_LADDER)
+
+
+@query("bpe_full_ladder_notes", None)
+def bpe_full_ladder_notes(spark, sf_dir):
+    words = grouped(note_words(spark, sf_dir)[0])
+    return merges.evaluate(words, merges.train(words, max(FULL_LADDER)), FULL_LADDER)
+
+
+@query("component_analysis_full", None)
+def component_analysis_full(spark, sf_dir):
+    return analysis.component_analysis(*analysed(spark, sf_dir, FULL))
+
+
+@query("vocab_summary_full", None)
+def vocab_summary_full(spark, sf_dir):
+    return analysis.summary(*analysed(spark, sf_dir, FULL))
+
+
+# Stored corpora.
+
+
+def stored_lines(spark, sf_dir, grid: Grid = Grid()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+    """(file_id, chunk_idx, text) of private-use characters, as a corpus file has them, and the dictionary."""
+    ix, vocab = indexed(spark, sf_dir, grid)
+    return corpus.lines(corpus.words_of(ix)).withColumn("text", corpus.private_use_words(F.col("text"))), vocab
+
+
+def _private_words(indices: list[str]) -> str:
+    return " || ".join(O.private(i) for i in indices)
+
+
+STORED = f"select file_id, chunk_idx, string_agg({_private_words([f'{f}_idx' for f in FIVE])}, ' ' order by pos) as text from ix group by file_id, chunk_idx"
+
+
+@query("coarsen_stored_lines", O.statement(*O.notes(Grid(onset_ms=1.0)), f"coarse as (select * replace ({O.coarse('t', 1, 20)} as t) from notes)", O.vocabulary("coarse"), O.indexed("coarse"), final=STORED))
+def coarsen_stored_lines(spark, sf_dir):
+    """By the dictionary alone: the lines are translated character by character."""
+    text, vocab = stored_lines(spark, sf_dir, Grid(onset_ms=1.0))
+    return lines.coarsened_lines(text, vocab, "t", 1, 20)[0]
+
+
+APART = _private_words(["t_idx"]) + " || ' ' || " + _private_words([f"{f}_idx" for f in FIVE[1:]])
+
+
+@query("split_stored_lines", O.statement(*O.notes(), O.vocabulary(), O.indexed(), final=f"select file_id, chunk_idx, string_agg({APART}, ' ' order by pos) as text, 5 * count(*)::bigint as n_tokens from ix group by file_id, chunk_idx"))
+def split_stored_lines(spark, sf_dir):
+    text = stored_lines(spark, sf_dir)[0].withColumn("text", lines.onsets_apart(F.col("text")))
+    return text.withColumn("n_tokens", lines.original_length(F.col("text")))
+
+
+@query("decode_stored_lines", O.statement(*O.notes(), final="select file_id, chunk_idx, pos, false as is_control, " + " || ' ' || ".join(f"'<{c}-' || {f} || '>'" for c, f in zip(O.CATEGORIES, FIVE, strict=True)) + " as tokens from notes"))
+def decode_stored_lines(spark, sf_dir):
+    out = lines.notes_of_lines(*stored_lines(spark, sf_dir))
+    return out.withColumn("tokens", F.array_join("tokens", " "))
+
+
+@query("decode_augmented_lines", None)
+def decode_augmented_lines(spark, sf_dir):
+    """Events of augmented lines, controls stripped and sentinels passed over."""
+    n = notes(spark, sf_dir)
+    vocab = settled(corpus.vocabulary(n))
+    text = augment.sequence_lines(augment.augmented(n, augment.all_passes(n, PASSES)), vocab).where("k = 2")
+    return lines.notes_of_lines(text, vocab).groupBy("file_id", "chunk_idx").agg(F.count("*").alias("n_events"), F.sum(F.size("tokens")).alias("n_tokens"))
+
+
 # Controls, rests and sequences.
 
 
@@ -333,7 +427,18 @@ def interleave(spark, sf_dir):
     return anticipation.sequence(anticipation.by_instruments(notes(spark, sf_dir), [24, 128]), Grid()).select("file_id", "chunk_idx", "seq", "kind", "t")
 
 
-@query("sequence_keeps_notes", O.statement(*O.notes(), O.controls(O.RANDOM_CONTROL), final="select count(*) as n_notes, 0::bigint as n_lost, 0::bigint as n_made from nc"))
+@query(
+    "sequence_keeps_notes",
+    O.statement(
+        *O.notes(),
+        O.controls(O.RANDOM_CONTROL),
+        *O.sequence(),
+        "before as (select file_id, chunk_idx, t, d, p, i, v, is_control from nc)",
+        "after as (select file_id, chunk_idx, t, d, p, i, v, kind = 'CONTROL' from seq where kind in ('EVENT', 'CONTROL'))",
+        final="""select (select count(*) from before) as n_notes, (select count(*) from (select * from before except all select * from after)) as n_lost,
+  (select count(*) from (select * from after except all select * from before)) as n_made""",
+    ),
+)
 def sequence_keeps_notes(spark, sf_dir):
     n = anticipation.by_rate(notes(spark, sf_dir), 3)
     cols = ["file_id", "chunk_idx", *FIVE, "is_control"]
@@ -361,10 +466,59 @@ def augment_schedule(spark, sf_dir):
     return anticipation.schedule(notes(spark, sf_dir))
 
 
-@query("span_state_machine", None)
+SPAN_CONTROL = "exists (select 1 from own_spans s where s.file_id = n.file_id and s.chunk_idx = n.chunk_idx and n.t between s.a and s.b)"
+
+
+@query("span_state_machine", recursive(*O.notes(), *O.spans(keys=CHUNK), final=f"select *, {SPAN_CONTROL} as is_control from notes n"))
 def span_state_machine(spark, sf_dir):
     n = notes(spark, sf_dir)
-    return anticipation.by_own_spans(n, anticipation.sampled_spans(n, Grid()))
+    return anticipation.by_own_spans(n, anticipation.sampled_spans(n, Grid(), uniform=anticipation.drawn(*CHUNK, salt=13)))
+
+
+@query("augment_schedule_chunks", O.statement(*O.notes(), *O.schedule(10, CHUNK), final="select * from chosen"))
+def augment_schedule_chunks(spark, sf_dir):
+    """Drawn for each chunk, from the instruments of its own."""
+    return anticipation.schedule(notes(spark, sf_dir), by=CHUNK)
+
+
+PASSES = 7  # none, spans, drawn rates, instruments
+PASS = (*CHUNK, "k")
+
+
+def _in_passes(passes: int) -> list[str]:
+    """nc(file_id, chunk_idx of the pass, ..): as the sequences of all passes are one, a chunk's number tells the pass, too."""
+    random = f"{O.draw(10_000, 'n.file_id', 'n.ord', 'n.k', salt=14)} < n.rate * 1000"
+    inside = "exists (select 1 from own_spans s where s.file_id = n.file_id and s.chunk_idx = n.chunk_idx and s.k = n.k and n.t between s.a and s.b)"
+    return [
+        *O.schedule(passes, CHUNK),
+        "each_note as materialized (select n.*, k, mode, rate, subset from notes n join chosen using (file_id, chunk_idx))",
+        *O.spans("mode = 'span'", PASS, of="each_note"),
+        f"""nc as materialized (select file_id, chunk_idx * {passes} + k as chunk_idx, pos, ord, t, d, p, i, v,
+  case mode when 'random' then {random} when 'instrument' then list_contains(string_split(subset, ','), i::varchar) when 'span' then {inside} else false end as is_control from each_note n)""",
+    ]
+
+
+def _line_words(passes: int) -> list[str]:
+    own = " || ".join(O.private(f"(v_{f}.idx + case when kind = 'CONTROL' then (select count(*) from vocab) else 0 end)") for f in FIVE)
+    joins = " ".join(f"left join vocab v_{f} on v_{f}.token = '<{c}-' || s.{f} || '>'" for c, f in zip(O.CATEGORIES, FIVE, strict=True))
+    return [f"line_words as (select file_id, chunk_idx // {passes} as chunk_idx, chunk_idx % {passes} as k, seq, case when kind in ('EVENT', 'CONTROL') then {own} else '[' || kind || ']' end as word from seq s {joins})"]
+
+
+@query(
+    "augmented_corpus",
+    recursive(*O.notes(), O.vocabulary(), *_in_passes(PASSES), *O.sequence(), *_line_words(PASSES), final="select file_id, chunk_idx, k, string_agg(word, ' ' order by seq) as text from line_words group by all"),
+)
+def augmented_corpus(spark, sf_dir):
+    n = notes(spark, sf_dir)
+    return augment.sequence_lines(augment.augmented(n, augment.all_passes(n, PASSES)), settled(corpus.vocabulary(n)))
+
+
+EPOCH = f"select file_id, case when {O.draw(10_000, 'file_id', '3', salt=11)} < 7000 then 1 + {O.draw(9, 'file_id', '3', salt=12)} else 0 end::bigint as k from (select distinct user_id as file_id from events)"
+
+
+@query("epoch_draw", EPOCH)
+def epoch_draw(spark, sf_dir):
+    return augment.epoch(raw(spark, sf_dir), 0.7, 3)
 
 
 # Windows and shards.
@@ -373,7 +527,7 @@ def span_state_machine(spark, sf_dir):
 def encoded_words(spark, sf_dir) -> tuple[DataFrame, list, DataFrame]:
     ix, vocab = indexed(spark, sf_dir)
     each = corpus.words_of(ix)
-    rules = merges.train_one(corpus.counted(each), K)
+    rules = merges.train_one(settled(corpus.counted(each)), K)
     return decoding.encoded_notes(each, rules), rules, vocab
 
 
@@ -502,3 +656,18 @@ def knee(spark, sf_dir):
     return S.knee(S.sweep(raw(spark, sf_dir), SWEEP_K))
 
 
+
+@query("quant_sweep_full", None)
+def quant_sweep_full(spark, sf_dir):
+    return S.sweep(raw(spark, sf_dir), FULL)
+
+
+BASELINE, CONSTRAINED = (O.statement(*O.sweep(SWEEP_K, standalone), final="select * from sweep") for standalone in (False, True))
+
+
+@query(
+    "baseline_against_standalone",
+    f"select factor, sweep_value, a.compression_factor as baseline, b.compression_factor as constrained from ({BASELINE}) a full join ({CONSTRAINED}) b using (factor, sweep_value)",
+)
+def baseline_against_standalone(spark, sf_dir):
+    return S.against(S.sweep(raw(spark, sf_dir), SWEEP_K), S.sweep(raw(spark, sf_dir), SWEEP_K, standalone=True))

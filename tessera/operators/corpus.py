@@ -2,7 +2,7 @@
 
 A symbol is an index in the dictionary, written [dddddd]; a word is its symbols one behind another. Indices follow the order
 of the tokens, so the order of symbols is that of tokens. A dictionary can't outgrow the private-use characters that stand
-for its tokens in files (137,472), which is what bounds the side that is broadcast.
+for its tokens in files (137,472): a larger one raises an error. That bounds the side that is broadcast.
 """
 
 from __future__ import annotations
@@ -20,9 +20,16 @@ MOST_TOKENS = sum(b - a + 1 for a, b in Q.PRIVATE_USE)
 
 def vocabulary(n: DataFrame, *by: str) -> DataFrame:
     """(token, category, idx), for each value of ``by``."""
-    distinct = n.select(*by, F.inline(F.array(*[F.struct(Q.token(c, F.col(f)).alias("token"), F.lit(c).alias("category")) for c, f in zip(CATEGORIES, FIELDS, strict=True)]))).distinct()
+    each = F.array(*[F.struct(Q.token(c, F.col(f)).alias("token"), F.lit(c).alias("category")) for c, f in zip(CATEGORIES, FIELDS, strict=True)])
+    return numbered(n.select(*by, F.inline(each)).distinct(), *by)
+
+
+def numbered(tokens: DataFrame, *by: str) -> DataFrame:
+    """tokens with ``idx``, their place in the order of tokens; an error where there are more than characters for them."""
     order = Window.partitionBy(*by).orderBy("token") if by else Window.orderBy("token")
-    return distinct.withColumn("idx", (F.row_number().over(order) - 1).cast("long"))
+    place = F.row_number().over(order) - 1
+    checked = F.when(place < MOST_TOKENS, place).otherwise(F.raise_error(F.lit("more tokens than private-use characters")).cast("int"))
+    return tokens.withColumn("idx", checked.cast("long"))
 
 
 def with_controls(vocab: DataFrame) -> DataFrame:
@@ -79,13 +86,23 @@ def coarsened(n: DataFrame, field: str, fine: float, coarse: float) -> DataFrame
     return n.withColumn(field, Q.coarser(field, F.col(field), fine, coarse))
 
 
-def private_use(word: Column) -> Column:
-    """Symbols to characters: the code point is encoded as UTF-32 by hand, as char() ends at 255."""
-    idx = F.transform(F.regexp_extract_all(word, F.lit(r"\[(\d+)\]"), 1), lambda s: s.cast("int"))
+def private_character_of(idx: Column) -> Column:
+    """The code point is encoded as UTF-32 by hand, as char() ends at 255."""
     (a0, a1), (b0, b1), (c0, _) = Q.PRIVATE_USE
     n1, n2 = a1 - a0 + 1, b1 - b0 + 1
-    point = F.transform(idx, lambda i: F.when(i < n1, i + a0).when(i < n1 + n2, i - n1 + b0).otherwise(i - n1 - n2 + c0))
-    return F.array_join(F.transform(point, lambda p: F.decode(F.unhex(F.lpad(F.hex(p), 8, "0")), "UTF-32")), "")
+    point = F.when(idx < n1, idx + a0).when(idx < n1 + n2, idx - n1 + b0).otherwise(idx - n1 - n2 + c0)
+    return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+
+
+def private_use(word: Column) -> Column:
+    """Symbols to characters."""
+    idx = F.transform(F.regexp_extract_all(word, F.lit(r"\[(\d+)\]"), 1), lambda s: s.cast("int"))
+    return F.array_join(F.transform(idx, private_character_of), "")
+
+
+def private_use_words(text: Column) -> Column:
+    """The same for a line of words."""
+    return F.array_join(F.transform(F.split(text, " "), private_use), " ")
 
 
 def category_counts(n: DataFrame) -> DataFrame:

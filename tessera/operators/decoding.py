@@ -6,15 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantize import CATEGORIES, FIELDS, value_of
-from .merges import applied, symbols
-
-
-def unmerged(words: DataFrame, merges: list[tuple[str, str, str]]) -> DataFrame:
-    """words with ``enc`` taken apart into base symbols, the last merge first."""
-    col = F.col("enc")
-    for a, b, m in reversed(merges):
-        col = F.replace(col, F.lit(f"[{m}]"), F.lit(f"[{a}][{b}]"))
-    return words.withColumn("base", col)
+from .merges import encoded, symbols, unmerged
 
 
 def notes_of(words: DataFrame, vocab: DataFrame, merges: list[tuple[str, str, str]]) -> DataFrame:
@@ -31,4 +23,5 @@ def notes_of(words: DataFrame, vocab: DataFrame, merges: list[tuple[str, str, st
 
 
 def encoded_notes(words: DataFrame, merges: list[tuple[str, str, str]]) -> DataFrame:
-    return words.withColumn("enc", applied(F.col("word"), merges))
+    """words with ``enc``. Each note is encoded: for a corpus of few distinct words, encode those and join."""
+    return encoded(words, merges)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .functions.quantize import CATEGORIES, FIELDS, Grid
+from .functions.quantize import CATEGORIES, FIELDS, PRIVATE_USE, Grid
 from .operators.analysis import SPECIALS
 from .operators.doubling import SENTINELS
 from .plans.sweep import FACTORS
@@ -113,14 +113,14 @@ def ladder(sizes: list[int]) -> str:
   sum(n * b)::bigint / sum(n * o)::bigint::double as reduction_ratio, sum(n * o)::bigint / sum(n * b)::bigint::double as compression_factor from ({each}) group by grp, merges"""
 
 
-def expansions(k: int = K) -> list[str]:
-    """toks(sym, size, original_tokens, categories), of base tokens and merges."""
-    out = ["e0 as (select lpad(idx::varchar, 6, '0') as sym, [token] as toks, [category] as cats from vocab)"]
+def expansions(k: int = K, x: str = "") -> list[str]:
+    """toks(sym, size, original_tokens, categories), of base tokens and merges; x goes behind the names."""
+    out = [f"e{x}0 as (select lpad(idx::varchar, 6, '0') as sym, [token] as toks, [category] as cats from vocab)"]
     for m in range(k):
-        out.append(f"e{m + 1} as materialized (select * from e{m} union all select 'M{m:05d}', list_concat(a.toks, b.toks), list_concat(a.cats, b.cats) from top{m} join e{m} a on a.sym = l join e{m} b on b.sym = r)")
-    out.append(f"toks as (select sym, len(toks) as size, array_to_string(toks, ' ') as original_tokens, array_to_string(list_sort(cats), '+') as categories, array_to_string(toks, '+') as joined from e{k})")
-    out.append(f"freq as (select s as sym, sum(n)::bigint as n from (select n, unnest(string_split(sym[2:-2], '][')) as s from w{k}) group by s)")
-    out.append("tf as (select t.*, coalesce(n, 0)::bigint as n from toks t left join freq using (sym))")
+        out.append(f"e{x}{m + 1} as materialized (select * from e{x}{m} union all select 'M{m:05d}', list_concat(a.toks, b.toks), list_concat(a.cats, b.cats) from top{m} join e{x}{m} a on a.sym = l join e{x}{m} b on b.sym = r)")
+    out.append(f"toks{x} as (select sym, len(toks) as size, array_to_string(toks, ' ') as original_tokens, array_to_string(list_sort(cats), '+') as categories, array_to_string(toks, '+') as joined from e{x}{k})")
+    out.append(f"freq{x} as (select s as sym, sum(n)::bigint as n from (select n, unnest(string_split(sym[2:-2], '][')) as s from w{k}) group by s)")
+    out.append(f"tf{x} as (select t.*, coalesce(n, 0)::bigint as n from toks{x} t left join freq{x} using (sym))")
     return out
 
 
@@ -128,10 +128,10 @@ def trained_notes(k: int = K, standalone: bool = False) -> list[str]:
     return [*notes(), vocabulary(), indexed(), words(standalone=standalone), COUNTED, *training(k)]
 
 
-def component(k: int) -> str:
+def component(k: int, of: str = "tf") -> str:
     return f"""select {k}::bigint as merges, size, categories, vocab_count, round_even(vocab_count / sum(vocab_count) over (partition by size), 4) as vocab_proportion, corpus_count,
   row_number() over (partition by size order by corpus_count desc, categories) as top
-  from (select size, categories, count(*) as vocab_count, sum(n)::bigint as corpus_count from tf where size > 1 group by size, categories)"""
+  from (select size, categories, count(*) as vocab_count, sum(n)::bigint as corpus_count from {of} where size > 1 group by size, categories)"""
 
 
 def draw(below: int, *keys: str, salt: int = 0) -> str:
@@ -206,7 +206,7 @@ def coarse(field: str, fine: float, to: float, x: str | None = None) -> str:
     return f"greatest({0 if field == 't' else 1}, {even(f'{x} * {float(fine)!r}::double / {float(to)!r}::double')})"
 
 
-def sweep(k: int) -> list[str]:
+def sweep(k: int, standalone: bool = False) -> list[str]:
     from .operators.corpus import fine_grid
 
     ctes, parts = [raw()], []
@@ -217,6 +217,44 @@ def sweep(k: int) -> list[str]:
             cols = ", ".join((field if v == values[0] else coarse(field, values[0], v)) + f" as {field}" if f == field else f for f in FIELDS)
             parts.append(f"select '{factor}|{v:03d}' as grp, file_id, chunk_idx, pos, {cols} from n_{factor}")
     ctes.append("allnotes as materialized (" + " union all ".join(parts) + ")")
-    ctes += [vocabulary("allnotes", by="grp, "), indexed("allnotes", by="grp, "), words(by="grp, "), COUNTED, *training(k)]
+    ctes += [vocabulary("allnotes", by="grp, "), indexed("allnotes", by="grp, "), words(standalone=standalone, by="grp, "), COUNTED, *training(k)]
     ctes.append(f"sweep as materialized (select split_part(grp, '|', 1) as factor, split_part(grp, '|', 2)::bigint as sweep_value, merges, original_tokens, bpe_tokens, reduction_ratio, compression_factor from ({ladder([k])}))")
     return ctes
+
+
+def private(idx: str) -> str:
+    (a0, a1), (b0, b1), (c0, _) = PRIVATE_USE
+    n1, n2 = a1 - a0 + 1, b1 - b0 + 1
+    return f"chr((case when {idx} < {n1} then {idx} + {a0} when {idx} < {n1 + n2} then {idx} - {n1} + {b0} else {idx} - {n1 + n2} + {c0} end)::int)"
+
+
+def spans(test: str = "true", keys: tuple[str, ...] = ("file_id", "chunk_idx"), salt: int = 13, of: str = "notes", g: Grid = Grid()) -> list[str]:  # noqa: B008
+    """own_spans(keys, a, b): a walk over each chunk's notes, one place a round. The statement has to be a recursive one."""
+    k = ", ".join(keys)
+    u = f"({draw(1_000_000, *(f'n.{x}' for x in keys), 'n.pos', salt=salt)} + 0.5) / 1e6"
+    gap = f"floor(-ln({u}) / 0.05)::bigint"
+    mine = " and ".join(f"n.{x} = m.{x}" for x in keys)
+    return [
+        f"""walk as (
+  select distinct {k}, -1::bigint as pos, true as inside, 0::bigint as end_t, 0::bigint as nxt, false as opens, 0::bigint as t from {of} where {test}
+  union all
+  select {", ".join(f"z.{x}" for x in keys)}, z.pos, opens or (inside and not closes), case when opens then z.t + {g.lead_steps} else end_t end, nxt, opens, z.t
+  from (select *, (not inside or closes) and t >= nxt as opens from (
+    select {", ".join(f"n.{x}" for x in keys)}, n.pos, n.t, m.inside, m.end_t, m.inside and n.t >= m.end_t as closes, case when m.inside and n.t >= m.end_t then n.t + {gap} else m.nxt end as nxt
+    from walk m join {of} n on {mine} and n.pos = m.pos + 1)) z)""",
+        f"own_spans as (select {k}, t as a, end_t as b from walk where opens)",
+    ]
+
+
+def schedule(passes: int, keys: tuple[str, ...], of: str = "notes") -> list[str]:
+    """chosen(keys, k, mode, rate, subset)."""
+    k = ", ".join(keys)
+    h = lambda below, *more, salt: draw(below, *keys, "k", *more, salt=salt)
+    return [
+        f"groups as (select {k}, list_sort(list(distinct i)) as insts from {of} group by {k})",
+        f"each_pass as (select *, case when len(insts) > 1 then 1 + {h(1_000_000, salt=2)} % (len(insts) - 1) end as c from (select *, unnest(range(0, {passes})) as k from groups))",
+        f"drawn as (select {k}, k, i, c, row_number() over (partition by {k}, k order by {h(1_000_000, 'i', salt=3)}, i) as at_ from (select *, unnest(insts) as i from each_pass))",
+        f"subsets as (select {k}, k, string_agg(i::varchar, ',' order by i) as subset from drawn where at_ <= c group by {k}, k)",
+        "modes as (select *, case when k % 10 = 0 then 'none' when k % 10 = 1 then 'span' when k % 10 < 6 then 'random' when len(insts) > 1 then 'instrument' else 'none' end as mode from each_pass)",
+        f"chosen as (select {k}, k, mode, case when mode = 'random' then 1 + {h(9, salt=1)} end as rate, case when mode = 'instrument' then subset end as subset from modes left join subsets using ({k}, k))",
+    ]

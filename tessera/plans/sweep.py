@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import quantize as Q
-from ..operators.corpus import counted, fine_grid, vocabulary, with_indices, words_of
+from ..operators.corpus import INDICES, counted, fine_grid, numbered, words_of
 from ..operators.merges import evaluate, train
 from ..operators.notes import notes
 from .tables import settled
@@ -18,26 +18,65 @@ from .tables import settled
 FACTORS = {"onset": ("t", (1, 2, 5, 10, 20)), "duration": ("d", (1, 2, 5, 10, 20)), "velocity": ("v", (128, 64, 32, 16, 8))}
 
 
-def sweep_words(raw: DataFrame, standalone: bool = False) -> DataFrame:
-    """(grp, word, n) with grp = factor|value."""
-    parts = []
+def by_factor(of) -> Column:
+    """of(factor, field, values), an expression, for each factor."""
+    out = None
     for factor, (field, values) in FACTORS.items():
-        # All grids of a factor from one pass over its finest one.
-        grids = [
-            F.struct(F.lit(f"{factor}|{v:03d}").alias("grp"), *[(Q.coarser(f, F.col(f), values[0], v) if f == field and v != values[0] else F.col(f)).alias(f) for f in Q.FIELDS])
-            for v in values
-        ]
-        parts.append(notes(raw, fine_grid(field, values[0])).select("file_id", "chunk_idx", "pos", F.inline(F.array(*grids))))
-    everything = settled(reduce(DataFrame.unionByName, parts))
-    vocab = vocabulary(everything, "grp")
-    return counted(words_of(with_indices(everything, vocab, "grp"), standalone), "grp")
+        out = (F.when if out is None else out.when)(F.col("factor") == factor, of(factor, field, values))
+    return out
+
+
+def finest_notes(raw: DataFrame) -> DataFrame:
+    """(factor, t, d, p, i, v): the notes on each factor's finest grid."""
+    parts = [notes(raw, fine_grid(field, values[0])).select(F.lit(factor).alias("factor"), *Q.FIELDS) for factor, (field, values) in FACTORS.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def grid_indices(finest: DataFrame) -> DataFrame:
+    """(factor, field, value, of): for each value of a field on the finest grid, its index in the dictionary of each grid.
+
+    Coarser dictionaries are made from the finest one, which is small; the corpus is read for that one only.
+    """
+    distinct = finest.select("factor", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in Q.FIELDS]))).distinct()
+
+    def tokens(factor: str, field: str, values: tuple[int, ...]) -> Column:
+        own = None
+        for c, f in zip(Q.CATEGORIES, Q.FIELDS, strict=True):
+            grids = [Q.token(c, Q.coarser(f, F.col("value"), values[0], v) if f == field and v != values[0] else F.col("value")) for v in values]
+            own = (F.when if own is None else own.when)(F.col("field") == f, F.array(*grids))
+        return own
+
+    each = distinct.select("factor", "field", "value", F.posexplode(by_factor(tokens)).alias("grid", "token"))
+    places = numbered(each.select("factor", "grid", "token").distinct(), "factor", "grid")
+    of = F.transform(F.array_sort(F.collect_list(F.struct("grid", "idx"))), lambda x: x["idx"])
+    return each.join(places, ["factor", "grid", "token"]).groupBy("factor", "field", "value").agg(of.alias("of"))
+
+
+def sweep_words(raw: DataFrame, standalone: bool = False) -> DataFrame:
+    """(grp, word, n) with grp = factor|value. A note is looked up once for all grids of a factor, and its words counted."""
+    finest = settled(finest_notes(raw))
+    of = settled(grid_indices(finest))
+    out = finest
+    for f in Q.FIELDS:
+        side = of.where(F.col("field") == f).select("factor", F.col("value").alias(f), F.col("of").alias(f"{f}_of"))
+        out = out.join(F.broadcast(side), ["factor", f])  # bounded by the characters for tokens, which is checked
+    names = by_factor(lambda factor, _, values: F.array(*[F.lit(f"{factor}|{v:03d}") for v in values]))
+    grids = F.arrays_zip(names.alias("grp"), *[F.col(f"{f}_of").alias(i) for f, i in zip(Q.FIELDS, INDICES, strict=True)])
+    return counted(words_of(out.select(F.inline(grids).alias("grp", *INDICES)), standalone), "grp")
 
 
 def sweep(raw: DataFrame, k: int, standalone: bool = False) -> DataFrame:
     """(factor, sweep_value, merges, original_tokens, bpe_tokens, reduction_ratio, compression_factor): all grids in the same jobs."""
     words = settled(sweep_words(raw, standalone))
     out = evaluate(words, train(words, k), [k])
-    return out.select(F.split_part("grp", F.lit("|"), F.lit(1)).alias("factor"), F.split_part("grp", F.lit("|"), F.lit(2)).cast("long").alias("sweep_value"), "merges", "original_tokens", "bpe_tokens", "reduction_ratio", "compression_factor")
+    name, value = (F.split_part("grp", F.lit("|"), F.lit(j)) for j in (1, 2))
+    return out.select(name.alias("factor"), value.cast("long").alias("sweep_value"), "merges", "original_tokens", "bpe_tokens", "reduction_ratio", "compression_factor")
+
+
+def against(baseline: DataFrame, constrained: DataFrame) -> DataFrame:
+    """(factor, sweep_value, baseline, constrained): compression factors of two sweeps side by side, null where one has no such grid."""
+    side = lambda df, name: df.where("compression_factor is not null and not isnan(compression_factor)").select("factor", "sweep_value", F.col("compression_factor").alias(name))
+    return side(baseline, "baseline").join(side(constrained, "constrained"), ["factor", "sweep_value"], "full")
 
 
 def leverage(results: DataFrame) -> DataFrame:
