@@ -36,7 +36,7 @@ from .common import map_arrow, spread, written
 LENGTH, GRAM = 50, 16
 GRAMS = LENGTH - GRAM + 1  # places for the anchor in a string
 SIDE = (LENGTH - GRAM) // 2  # a string holds that many bytes on one side of its anchor at least
-BUCKET, DOCS = 500_000, 2_000
+BUCKET, DOCS, BYTES = 500_000, 2_000, 64 << 20
 FREQUENT, FREQUENT_SHARE, SAMPLED = 200_000, 1e-4, 32  # segments of an anchor; and at least this share of documents; one in so many is looked at
 TEXT, SPANS, WANTED, PLACES, SPREAD = 0, 1, 2, 3, 4
 
@@ -307,9 +307,7 @@ def compared(r: dict[str, np.ndarray], data: list[np.ndarray], p: dict[str, np.n
         t = np.zeros(size.sum(), np.uint8)
         begin = np.cumsum(size) - size
         for b, j in zip(begin.tolist(), k.tolist(), strict=True):
-            t[b : b + len(data[j])] = data[j]
-        t[t > 0] += 1
-        t[np.concatenate([begin + size - 1])] = 0
+            t[b : b + len(data[j])] = data[j] + np.uint8(1)  # 0 is left to the ends: UTF-8 has no byte 255
         of, place = classes(t)
         inner = np.arange(count[k].sum()) - np.repeat(np.cumsum(count[k]) - count[k], count[k])
         of = of[place[np.repeat(begin, count[k]) + inner]]
@@ -429,7 +427,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     docs = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     own = docs.where("doc_id is not null")
     n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    doc_buckets = max(8, -(-n // DOCS))
+    doc_buckets = max(8, -(-n // DOCS), -(-size // BYTES))
     anchor_buckets = max(8, -(-size * 2 // (GRAMS + 1) // BUCKET))
 
     def texts_of(batch: pa.RecordBatch | pa.Table) -> tuple[list[int], list[bytes]]:
