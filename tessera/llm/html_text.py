@@ -1,16 +1,21 @@
 """Main text of web pages by the distribution of text over lines.
 
-Markup is stripped into lines, one for each block element. A line counts with the length of its text, or with none if it
-stands in an element that holds no article text by its kind (navigation, forms, scripts ...) or by the words of its class,
-id or role (adverts, notices, comments ...); such an element ends where HTML says so, also where its end tag is left out
-(at a start tag that closes it, or with its parent). If the page marks an article or main element, lines outside count with none.
-Over these lengths a window of ``WINDOW`` lines is slid. The text begins where the window's sum surges from nothing and
-ends where it dives back to nothing; of the stretches so found, those are kept that hold text of the weight of an article,
-measured against the heaviest one. In a marked article every stretch is article text. Lines without weight inside a
-stretch are left out.
-
-Null or empty html gives an empty text, as does a page without any text; unclosed or stray tags and an unclosed comment
-don't raise; repeated rows stay; only page_id, url and html are read.
+Markup is stripped into lines, one for each block element. A line counts with the length of its text outside links (in a
+heading, of all its text). Over these lengths a window of ``WINDOW`` lines is slid: the text begins where the sum of the
+window that begins there surges above a threshold, and ends where it dives below it; every such stretch is text, and what
+stands outside, such as runs of links or lone words, is not. The threshold comes from the page's own line lengths: ``RISE`` of
+the length of a line as a character of the page sees it, and nothing at all in a marked article, of which no text is lost. At
+a surge, lines of less than a window's share of the threshold are passed over up to the first longer one or heading; links
+alone don't begin or end a stretch.
+
+Kinds of elements (navigation, forms ...), words of a class, id or role (adverts, notices ...) and standing outside of the
+page's article element are hints only: each makes a line's text weigh ``HINT`` of what it would. The hint under which most
+weight stands is the text's own: lines hinted at more are left out of the sums and of the text, as a form or an ill-named box
+around everything hints at all lines alike. An element ends where HTML says so, also where its end tag is left out.
+
+Null or empty html gives an empty text, as does a page without any text; unclosed or stray tags and quotes and an unclosed
+comment don't raise, and cost no more than other text; where all text is in links, they count; repeated rows stay; only
+page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, spread
 
-WINDOW = 3
-STRETCH_SHARE = 0.2  # of the heaviest stretch, where no element marks the article
+WINDOW, RISE, HINT = 3, 0.05, 0.03
 
 # Names of HTML elements.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas")
+ARTICLE = {"article", "main"}
 NO_TEXT = {"head", "nav", "footer", "aside", "form", "select", "button", "menu", "dialog", "audio", "video", "map", "fieldset"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
@@ -49,8 +55,11 @@ BOILERPLATE = re.compile(
     r"masthead|site-header|page-header|topbar|toolbar|search|widget|pagination|pager|copyright|legal|disclaimer|complementary|contentinfo|alert|skip-link)(?:$|[\s_-])",
     re.I,
 )
+# Every repetition is possessive, so that no malformed tag makes the search go back; one with a stray quote ends at its first >.
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(RAW)})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<rest>(?:\"[^\"<]*\"|'[^'<]*'|[^>\"'<]|[\"'])*)>",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(RAW)})\b(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+>.*?(?:</(?P=raw)\s*+>|\Z)|<[!?][^<>]*+>"
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*+)(?P<rest>(?:\"[^\"<]*+\"|'[^'<]*+'|[^>\"'<]|[\"'])*+)>"
+    r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][\w:-]*+)(?P<rest2>[^<>]*+)>",
     re.S | re.I,
 )
 MARKS = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -62,15 +71,23 @@ class Open:
 
     def __init__(self) -> None:
         self.tags: list[str] = []
+        self.hints: list[int] = []  # how many each stands in, itself included
         self.n: Counter[str] = Counter()
 
-    def push(self, tag: str) -> None:
+    def push(self, tag: str, hinted: bool) -> None:
+        self.hints.append(self.hint() + hinted)
         self.tags.append(tag)
         self.n[tag] += 1
 
+    def hint(self) -> int:
+        return self.hints[-1] if self.hints else 0
+
+    def inside(self, which: set[str]) -> bool:
+        return any(self.n[t] > 0 for t in which)
+
     def _cut(self, at: int) -> None:
         self.n.subtract(self.tags[at:])
-        del self.tags[at:]
+        del self.tags[at:], self.hints[at:]
 
     def _find(self, which: set[str], stops) -> int:
         """The place of the innermost open element of these, or -1 if there is none before one that stops the search."""
@@ -125,97 +142,108 @@ class Open:
         return at
 
 
-def lines(page: str) -> tuple[list[str], list[bool], list[bool]]:
-    """Texts of the blocks in page order, whether each counts, and whether it stands in a marked article."""
-    texts: list[str] = []
-    counts: list[bool] = []
-    inside: list[bool] = []
+class Line(NamedTuple):
+    text: str
+    plain: int  # length of what is in no link, or in a heading
+    hints: int
+    inside: bool  # of an article or main element
+    heading: bool
+
+
+def lines(page: str) -> list[Line]:
+    """The blocks that hold text, in page order."""
+    out: list[Line] = []
     part: list[str] = []
+    plain: list[str] = []
     opened = Open()
-    skip = -1  # the place among the open elements of the one whose content is passed over
-    articles: list[str] = []
+    own_hint = 0  # of the line at hand: text under another number of hints is another line
+
+    def spelled(parts: list[str]) -> str:
+        return " ".join(html.unescape("".join(parts)).split())
+
+    def add(text: str) -> None:
+        nonlocal own_hint
+        if opened.hint() != own_hint:
+            end_line()
+            own_hint = opened.hint()
+        part.append(text)
+        plain.append(" " if opened.n["a"] > 0 and not opened.inside(HEADINGS) else text)
 
     def end_line() -> None:
-        text = " ".join(html.unescape("".join(part)).split())
-        part.clear()
+        text = spelled(part)
         if text:
-            texts.append(text)
-            counts.append(skip < 0)
-            inside.append(bool(articles))
+            heading = opened.inside(HEADINGS)
+            out.append(Line(text, len(text) if plain == part else len(spelled(plain)), own_hint, opened.inside(ARTICLE), heading))
+        part.clear()
+        plain.clear()
 
     at = 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
-            part.append(page[at : m.start()])
+            add(page[at : m.start()])
         at = m.end()
-        tag = m["tag"]
+        tag = m["tag"] or m["tag2"]
         if tag is None:
-            if m["raw"] is None:
-                continue
-            part.append(" ")
+            if m["raw"] is not None:
+                add(" ")
             continue
-        tag, close, rest = tag.lower(), m["close"], m["rest"]
+        tag, close, rest = tag.lower(), m["close"] or m["close2"], m["rest"] or m["rest2"] or ""
         if tag == "br":
-            part.append(" ")
+            add(" ")
         elif tag not in INLINE:
             end_line()
-        own = opened.end(tag) if close else opened.start(tag)
-        if skip >= 0 and (len(opened.tags) <= skip or close and tag in ("body", "html")):
-            end_line()
-            ended, skip = skip, -1
-            if own == ended:
-                continue
-        if tag in VOID or rest.endswith("/") and tag not in NO_TEXT:
-            continue
-        if not close:
-            opened.push(tag)
-        if skip >= 0:
-            continue
         if close:
-            if tag in ("article", "main") and tag in articles:
-                while articles.pop() != tag:
-                    pass
+            opened.end(tag)
+            continue
+        opened.start(tag)
+        if tag in VOID or rest.endswith("/") and tag not in NO_TEXT or tag == "a" and "href" not in rest.lower():
             continue
-        if tag in NO_TEXT or tag == "header" and not articles or rest and tag not in ("html", "body", "article", "main") and marked(rest) or tag == "article" and articles and rest and marked(rest):
-            if tag in INLINE:
-                end_line()
-            skip = len(opened.tags) - 1
-        elif tag in ("article", "main"):
-            if rest and marked(rest):
-                skip = len(opened.tags) - 1
-            else:
-                articles.append(tag)
+        in_article = opened.inside(ARTICLE)
+        opened.push(tag, tag in NO_TEXT or tag == "header" and not in_article or bool(rest) and tag not in ("html", "body") and marked(rest))
     if at < len(page):
-        part.append(page[at:])
+        add(page[at:])
     end_line()
-    return texts, counts, inside
+    return out
 
 
 def marked(rest: str) -> bool:
     return any(BOILERPLATE.search(x) for m in MARKS.finditer(rest) for x in m.groups() if x) or bool(HIDDEN.search(rest))
 
 
+def main_lines(all_lines: list[Line]) -> list[int]:
+    """Which lines are the main text."""
+    if not all_lines:
+        return []
+    length = np.array([x.plain for x in all_lines], np.float64)
+    if not length.any():
+        length = np.array([len(x.text) for x in all_lines], np.float64)
+    inside = np.array([x.inside for x in all_lines])
+    hints = np.array([x.hints for x in all_lines])
+    if inside.any():
+        hints = hints + ~inside
+    mass = np.bincount(hints, length) * HINT ** np.arange(hints.max() + 1)
+    own = hints <= mass.argmax()
+    weight = np.where(own, length, 0)
+    if not weight.any():
+        return []
+    article = bool((own & inside & (weight > 0)).any())
+    threshold = 0.0 if article else RISE * (weight**2).sum() / weight.sum()
+    total = np.concatenate([[0], np.cumsum(weight), np.full(WINDOW, weight.sum())])
+    sums = total[WINDOW : WINDOW + len(weight)] - total[: len(weight)]
+    edge = np.diff((sums > threshold).view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    out: list[int] = []
+    for surge, dive in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+        while surge < dive and not (weight[surge] > threshold / WINDOW or weight[surge] and all_lines[surge].heading):
+            surge += 1
+        while surge < dive and not weight[dive - 1]:
+            dive -= 1
+        out += [k for k in range(surge, dive) if own[k]]
+    return out
+
+
 def main_text(page: str | None) -> str:
-    texts, counts, inside = lines(page or "")
-    weight = np.array([len(t) if c else 0 for t, c in zip(texts, counts, strict=True)], np.int64)
-    within = np.array(inside, bool)
-    article = bool(weight.size and weight[within].sum())
-    if article:
-        weight[~within] = 0
-    if not weight.sum():
-        return ""
-    # sums[k] is the text in the window that begins at line k.
-    total = np.concatenate([[0], np.cumsum(weight)])
-    k = np.arange(len(weight))
-    sums = total[np.minimum(k + WINDOW, len(weight))] - total[k]
-    edge = np.diff((sums > 0).view(np.int8), prepend=np.int8(0), append=np.int8(0))
-    surge, dive = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    mass = total[dive] - total[surge]
-    kept = np.zeros(len(weight), bool)
-    for a, b, m in zip(surge, dive, mass, strict=True):
-        if article or m >= STRETCH_SHARE * mass.max():
-            kept[a:b] = weight[a:b] > 0
-    return "\n".join(t for t, k in zip(texts, kept, strict=True) if k)
+    all_lines = lines(page or "")
+    return "\n".join(all_lines[k].text for k in main_lines(all_lines))
 
 
 def extract(pages: DataFrame) -> DataFrame:
