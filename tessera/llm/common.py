@@ -16,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A temporary one only where the cluster names none (tests)."""
+    """The folder that driver and executors share. Only where they are one machine may it be a temporary one (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -80,8 +82,10 @@ def remainder(column: str, by: int):
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(by))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, out_fold: int, most: int) -> list[tuple[str | None, int]]:
-    """At most ``most`` labelled rows outside the held-out fold, by the order of a hash; the ids, so bounded, are broadcast."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, out_fold: int, most: int, most_chars: int) -> list[tuple[str | None, int]]:
+    """At most ``most`` labelled rows outside the held-out fold, by the order of a hash, and of these in the same order no more
+    than have ``most_chars`` characters together; the ids, so bounded, are broadcast.
+    """
     ids = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", folds) != out_fold))
         .groupBy("doc_id")
@@ -91,4 +95,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     )
     # An id with several rows still gives one.
     got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
-    return sorted((x.text, x.y) for x in got.select("text", "y").where("text is not null").collect())
+    out, left = [], most_chars
+    for x in got.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "y").toLocalIterator():
+        left -= len(x.text)
+        if left < 0:
+            break
+        out.append((x.text, x.y))
+    return sorted(out)

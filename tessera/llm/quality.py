@@ -2,8 +2,8 @@
 
 Learned filters, each over ``WIDTH`` bytes, run over the whole document. They are pooled (largest and mean response) over
 chunks of ``2 * BLOCK`` bytes that overlap by half; a small layer turns a chunk into one number, and the largest and mean
-number of a document's chunks give its probability. The network is fitted on chunks of at most ``MOST`` labelled rows, taken
-in the order of a hash of the id; a fifth of them is kept back to fit how a document's chunks are combined.
+number of a document's chunks give its probability. The network is fitted on at most ``CHUNKS_OF_A_ROW`` chunks
+each of at most ``MOST`` labelled rows with at most ``MOST_CHARS`` characters, taken in the order of a hash of the id; a fifth of them is kept back to fit how a document's chunks are combined.
 
 Defined results: a null text counts as empty and is scored as a single blank; a null id isn't held out; repeated rows stay;
 null labels and labels of ids without a row teach nothing; with too few labels of either kind every score is the share of
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import labelled_sample, map_arrow, remainder, spread
 from .toxicity import unlike
 
-MOST = 6000
+MOST, MOST_CHARS = 6000, 24 << 20
 THRESHOLD = 0.3
 WIDTH, EMBEDDED, FILTERS, HIDDEN, BLOCK = 6, 8, 16, 16, 128
 CHUNK = 2 * BLOCK
@@ -189,7 +189,7 @@ def learn(rows: list[tuple[str | None, int]]) -> Net:
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Net:
-    return learn(labelled_sample(docs, labels, "quality", 5, 0, most))
+    return learn(labelled_sample(docs, labels, "quality", 5, 0, most, MOST_CHARS))
 
 
 def quality(docs: DataFrame, model: Net) -> DataFrame:

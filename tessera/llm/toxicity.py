@@ -3,7 +3,8 @@
 Folding maps look-alike letters, digits and signs that stand for letters, and accented letters to one plain letter each,
 character for character, so that places in the folded text are places in the text. A pattern counts where a word starts
 with it (or is it); matches inside an exception phrase don't count. The sum of weights, and that sum by length, go
-through a logistic curve. Lexicon, weights, exception phrases and curve are learned from at most ``MOST`` labelled rows,
+through a logistic curve. Lexicon, weights, exception phrases and curve are learned from at most ``MOST`` labelled rows
+with at most ``MOST_CHARS`` characters,
 taken in the order of a hash of the id; beside them stand a few fixed words.
 
 Defined results: a null text counts as empty and gets the score of a text without matches; a null id isn't held out;
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import labelled_sample, map_arrow, remainder, replace_rows, spread
 
-MOST = 12_000
+MOST, MOST_CHARS = 12_000, 48 << 20
 THRESHOLD = 0.3
 
 # Letters of other scripts, digits and signs that look like a Latin letter.
@@ -118,7 +119,15 @@ class Lexicon:
                 w = max(w or 0.0, whole)
             if w is not None and (start not in found or found[start][1] < w):
                 found[start] = (end, w)
-        return [(s, e, w) for s, (e, w) in sorted(found.items()) if not any(a <= s and e <= b for a, b in spared)]
+        # Both in the order of starts: of the phrases that have begun, the one that ends last covers a match or none does.
+        out, spared, k, until = [], sorted(spared), 0, 0
+        for s, (e, w) in sorted(found.items()):
+            while k < len(spared) and spared[k][0] <= s:
+                until = max(until, spared[k][1])
+                k += 1
+            if e > until:
+                out.append((s, e, w))
+        return out
 
     def features(self, text: str) -> tuple[float, float]:
         total = sum(w for *_, w in self.places(text))
@@ -193,7 +202,7 @@ def learn(rows: list[tuple[str | None, int]]) -> Lexicon:
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Lexicon:
-    return learn(labelled_sample(docs, labels, "toxic", 4, 2, most))
+    return learn(labelled_sample(docs, labels, "toxic", 4, 2, most, MOST_CHARS))
 
 
 def toxicity(docs: DataFrame, model: Lexicon) -> DataFrame:
