@@ -34,6 +34,7 @@ MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 6, 7), (0, 1, 4, 6, 8), (0,
 WINDOW, SHARE, LEAST = 13, 0.8, 8
 BLOCK_BYTES = 16 << 20  # of benchmark text that goes to every task at once: some 3 million words
 BITS = 22
+MANY, AT_ONCE = 50_000, 1_000_000  # ways to lay items on a document by one seed, and words or ways held at a time
 
 ODD = np.random.default_rng(7).integers(1 << 62, 1 << 63, 80, dtype=np.uint64) | np.uint64(1)
 POWER = np.cumprod(np.full(256, 0x9E3779B97F4A7C15, np.uint64))
@@ -96,43 +97,122 @@ class Items:
             self.filter.append(bits)
         self.item = item
 
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in h, place in the items' words) of equal seeds."""
-        out = []
+    def alignments(self, h: np.ndarray, doc_start: np.ndarray) -> np.ndarray:
+        """(document, item, word of h where the item begins when laid so that a seed of both meets) of all ways, each once.
+
+        A seed that a document has at a places and the items at b gives a * b ways, but no more than a + the words of an item for
+        one of these: where a * b is large, the ways are marked on a line for each item, and nothing of their number is held.
+        """
+        # As one number each: the word is counted from the longest item's length before the first one.
+        span, before = len(h) + 2 * len(self.h) + 1, len(self.h)
+        keyed = lambda d, i, begin: (np.asarray(d) * len(self.ids) + i) * span + begin + before
+        out = [np.zeros(0, np.int64)]
         for k in range(len(MASKS)):
             s = seeds(h, k)
             at = np.flatnonzero(self.filter[k][s >> np.uint64(64 - BITS)])
             lo = np.searchsorted(self.seeds[k], s[at], "left")
             n = np.searchsorted(self.seeds[k], s[at], "right") - lo
             at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            out.append((np.repeat(at, n), self.places[k][np.repeat(lo, n) + within]))
-        return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+            doc = np.searchsorted(doc_start, at, "right") - 1
+            order = np.lexsort((lo, doc))
+            at, lo, n, doc = at[order], lo[order], n[order], doc[order]
+            new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (lo[1:] != lo[:-1])])) if len(at) else np.zeros(0, np.int64)
+            times = np.diff(np.append(new, len(at)))
+            many = np.repeat(times * n[new] > MANY, times)
+            out += [np.unique(keyed(*x)) for x in self._each(at[~many], lo[~many], n[~many], doc[~many], k)]
+            for a, c in zip(new[times * n[new] > MANY].tolist(), times[times * n[new] > MANY].tolist(), strict=True):
+                out += [keyed(doc[a], *x) for x in self._marked(at[a : a + c], self.places[k][lo[a] : lo[a] + n[a]])]
+        pair, begin = np.divmod(np.unique(np.concatenate(out)), span)
+        return np.stack([*np.divmod(pair, max(1, len(self.ids))), begin - before], 1)
+
+    def _each(self, at: np.ndarray, lo: np.ndarray, n: np.ndarray, doc: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Every place with every one of the items, some at a time."""
+        upto = np.cumsum(n)
+        begin = 0
+        while begin < len(at):
+            end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + AT_ONCE, "right")))
+            m = n[begin:end]
+            within = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            q = self.places[k][np.repeat(lo[begin:end], m) + within]
+            item = self.item[q]
+            yield np.repeat(doc[begin:end], m), item, np.repeat(at[begin:end], m) - q + self.start[item]
+            begin = end
+
+    def _marked(self, p: np.ndarray, q: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        item = self.item[q]
+        order = np.argsort(item, kind="stable")
+        edge = np.flatnonzero(np.concatenate([[True], item[order][1:] != item[order][:-1]]))
+        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(q)], strict=True):
+            i = int(item[order[a]])
+            inner = q[order[a:b]] - self.start[i]
+            low = int(p.min()) - int(inner.max())
+            ways = np.zeros(int(p.max()) - int(inner.min()) - low + 1, bool)
+            few, other = (inner, p) if len(inner) <= len(p) else (p, inner)
+            for x in few.tolist():
+                ways[(other - x if few is inner else x - other) - low] = True
+            yield i, np.flatnonzero(ways) + low
+
+    def compared(self, h: np.ndarray, doc_start: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """(words alike, -first, last of them, whether that is an overlap) for each alignment, word by word."""
+        doc, i, at = rows.T
+        size = self.end[i] - self.start[i]
+        first = np.cumsum(size) - size
+        row = np.repeat(np.arange(len(rows)), size)
+        inner = np.arange(size.sum()) - first[row]
+        place = at[row] + inner
+        inside = (place >= doc_start[doc][row]) & (place < doc_start[doc + 1][row])
+        same = inside & (h[np.where(inside, place, 0)] == self.h[self.start[i][row] + inner])
+        n = np.add.reduceat(same, first, dtype=np.int64)
+        total = np.concatenate([[0], np.cumsum(same)])
+        w = np.minimum(WINDOW, size)
+        ends = np.minimum(first[row] + inner + w[row], len(same))
+        in_window = np.where(inner + w[row] <= size[row], total[ends] - total[:-1], 0)
+        enough = (n >= SHARE * size) | (np.maximum.reduceat(in_window, first) >= SHARE * w)
+        begin = np.minimum.reduceat(np.where(same, place, len(h)), first) - doc_start[doc]
+        last = np.maximum.reduceat(np.where(same, place, -1), first) - doc_start[doc]
+        return np.stack([n, -begin, last, enough], 1)
 
     def overlaps(self, h: np.ndarray, doc_start: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """(document, item, words alike, first and last word of the document that is alike), at the best place of each pair."""
+        """(document, item, words alike, first and last word of the document that is alike), at the best place of each pair.
+
+        The ways to lay an item on a document are taken in the order of how many words can be alike, and of their places: those
+        that can't be better than the best one any more aren't looked at.
+        """
         if not len(self.h) or not len(h):
             return
-        p, q = self.hits(h)
-        if not len(p):
+        rows = self.alignments(h, doc_start)
+        if not len(rows):
             return
-        doc, item = np.searchsorted(doc_start, p, "right") - 1, self.item[q]
-        lines = np.unique(np.stack([doc, item, p - q + self.start[item]], 1), axis=0)
+        doc, i, at = rows.T
+        most = np.minimum(at + self.end[i] - self.start[i], doc_start[doc + 1]) - np.maximum(at, doc_start[doc])
+        order = np.lexsort((at, -most, i, doc))
+        rows, most = rows[order], most[order]
+        new = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)]))
+        left, end = new.copy(), np.append(new[1:], len(rows))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for d, i, at in lines.tolist():
-            low, high = doc_start[d], doc_start[d + 1]
-            whole = self.h[self.start[i] : self.end[i]]
-            lo, hi = max(low, at), min(high, at + len(whole))
-            same = np.zeros(len(whole), np.int64)
-            same[lo - at : hi - at] = h[lo:hi] == whole[lo - at : hi - at]
-            n, w = int(same.sum()), min(WINDOW, len(whole))
-            total = np.concatenate([[0], np.cumsum(same)])
-            if n >= SHARE * len(whole) or (total[w:] - total[:-w]).max() >= SHARE * w:
-                where = np.flatnonzero(same)
-                got = (n, -int(at + where[0] - low), int(at + where[-1] - low))
-                best[d, i] = max(best.get((d, i), (0, 0, 0)), got)
-        for (d, i), (n, first, last) in sorted(best.items()):
-            yield d, i, n, -first, last
+        step = 16
+        while len(left):
+            take = np.minimum(end - left, step)
+            k = np.repeat(left - (np.cumsum(take) - take), take) + np.arange(take.sum())
+            sizes = np.cumsum(self.end[rows[k, 1]] - self.start[rows[k, 1]])
+            for part in np.split(k, np.flatnonzero(np.diff(sizes // AT_ONCE)) + 1):
+                got = self.compared(h, doc_start, rows[part])
+                for (d, j, _), (*found, enough) in zip(rows[part].tolist(), got.tolist(), strict=True):
+                    if enough:
+                        best[d, j] = max(best.get((d, j), (0, 0, 0)), tuple(found))
+            left = left + take
+            # What comes next has at most ``most`` words alike, and its first one no earlier than it begins.
+            stay = []
+            for g, (a, b) in enumerate(zip(left.tolist(), end.tolist(), strict=True)):
+                if a < b:
+                    d, j, x = rows[a].tolist()
+                    n, first, _ = best.get((d, j), (0, 0, 0))
+                    if most[a] > n or most[a] == n and x - doc_start[d] < -first:
+                        stay.append(g)
+            left, end = left[stay], end[stay]
+            step *= 4
+        for (d, j), (n, first, last) in sorted(best.items()):
+            yield d, j, n, -first, last
 
 
 def blocks(benchmark: DataFrame) -> list[DataFrame]:
