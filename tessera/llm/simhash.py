@@ -22,19 +22,23 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, spread, written
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
-BUCKET, BATCH = 2_000_000, 4096
+BUCKET, BATCH, EMIT = 2_000_000, 4096, 20_000  # fingerprints of a task that emits: some 110 MB of values
 ONE = np.concatenate([[0], np.uint64(1) << np.arange(64, dtype=np.uint64)]).astype(np.uint64)
 TWO = np.array([1 << i | 1 << j for i in range(64) for j in range(i + 1, 64) if i // 32 == j // 32], np.uint64)
 MASKS = np.concatenate([ONE, TWO])
 
 
+def text_mark() -> Column:
+    return F.xxhash64("text")
+
+
 def shingle_hashes(text: str | None) -> list[int]:
     words = (text or "").encode().lower().split()  # bytes: only A-Z are lowered, only ASCII white space splits
     if not words:
@@ -65,14 +69,14 @@ def fingerprint_of(hashes: list[list[int]]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long: the 64 bits) for each row."""
+    """(doc_id, mark long: a checksum of the text, fp long: the 64 bits) for each row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.Table:
         fps = fingerprint_of([shingle_hashes(t) for t in batch.column(1).to_pylist()])
-        return pa.table({"doc_id": batch.column(0), "fp": pa.array(fps.view(np.int64))})
+        return pa.table({"doc_id": batch.column(0), "mark": batch.column(2), "fp": pa.array(fps.view(np.int64))})
 
-    return map_arrow(spread(docs.select("doc_id", "text")), run, f"doc_id {kind}, fp long", 200)
+    return map_arrow(spread(docs.select("doc_id", "text", text_mark().alias("mark"))), run, f"doc_id {kind}, mark long, fp long", 200)
 
 
 def mixed(z: np.ndarray) -> np.ndarray:
@@ -128,23 +132,35 @@ def links(distinct: DataFrame) -> DataFrame:
         got = meeting_links(z, mask).view(np.int64)
         return pa.table({"a": pa.array(got[:, 0]), "b": pa.array(got[:, 1])})
 
-    sent = map_arrow(distinct.select("fp"), emit, "bucket long, z binary, mask binary", BATCH)
+    spread_out = distinct.select("fp").repartition(-(-n // EMIT) or 1, "fp")  # the table itself has few files
+    sent = map_arrow(spread_out, emit, "bucket long, z binary, mask binary", BATCH)
     return sent.groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row."""
+    return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """(fp, doc_id, mark, component_id) for each row."""
     fps = written(fingerprints(docs), "fingerprints")
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     stars = components(links(distinct))
     rooted = distinct.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = written(rooted, "rooted")
+    least = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least-documents")  # a table, so that a large root is split
+    of = written(rooted.join(least, "root").select("fp", "component_id"), "components")
+    return fps.join(of, "fp")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group, that of the smallest id. Rows without an id can't be told apart and all stay."""
-    stay = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """docs with one row of each group, one that has the smallest id there.
+
+    An id is a document: of rows that share one, one stays. It is one whose own group has that id as its smallest, never a copy of
+    another document, and of several such texts that with the least checksum. Rows without an id can't be told apart and all
+    stay.
+    """
+    stay = grouped(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.min("mark").alias("_mark"))
+    kept = docs.where("doc_id is not null").withColumn("_mark", text_mark()).join(stay, ["doc_id", "_mark"], "left_semi").drop("_mark")
+    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(docs.columns)
