@@ -3,7 +3,7 @@
 Every prefix of a word has one encoding, so one last token. A token that ends at a position is that last token if and
 only if it and the last token of what stands before it stay apart when the two are merged on their own. Candidates are
 the tokens that are suffixes of the prefix; an automaton with suffix links over all tokens finds them, longest first.
-Back-pointers then give the ids. Words are encoded once each; a worker keeps a bounded number of them.
+Back-pointers then give the ids. Words are encoded once each; a worker keeps as many as fit a bound of bytes.
 
 Nulls and empty texts have no ids and decode to the empty string. Repeated rows stay; other columns are left out.
 """
@@ -23,9 +23,9 @@ from tokenizers import Tokenizer
 from .common import map_arrow, spread
 
 END = 256  # added to the symbol of a word's last byte
-WORDS_KEPT = 400_000
-PAIRS_KEPT = 2_000_000
-BEGINNING, BEGINNINGS_KEPT = 6, 100_000
+WORDS_KEPT = 96 << 20  # bytes of words and their ids
+PAIRS_KEPT = 500_000
+BEGINNING, BEGINNINGS_KEPT, LONG = 6, 100_000, 1000
 OTHER = regex.compile(r"[^\x00-\x1b\x20-\x84\x86-\u024f]").search
 
 
@@ -62,9 +62,13 @@ class Encoder:
             self.symbols[made] = self.symbols[a] + self.symbols[b]
         self.known: dict[int, bool] = {}
         self._automaton()
+        del self.symbols
         self.words: dict[str, list[int]] = {}
+        self.words_size = 0
         self.beginnings: dict[bytes, tuple[int, tuple[int, ...]]] = {}
-        self.lib, self.byte_of = Tokenizer.from_str(text), {c: b for b, c in enumerate(names)}
+        # The library's normalizer and splitter only: its own vocabulary isn't kept.
+        lib = Tokenizer.from_str(text)
+        self.normalizer, self.splitter, self.byte_of = lib.normalizer, lib.pre_tokenizer, {c: b for b, c in enumerate(names)}
         inner = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
         self.split = regex.compile(inner).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
@@ -100,7 +104,10 @@ class Encoder:
                 chainof[child] = ((ends[child],) if ends[child] >= 0 else ()) + chainof[link[child]]
                 queue.append(child)
         self.size = {t: len(s) for t, s in self.symbols.items()}
-        self.goto, self.link, self.found = goto, link, [tuple((t, self.size[t]) for t in x) for x in chainof]
+        # Most nodes end no token of their own and share the list of the node that they are linked to.
+        sized = {t: (t, n) for t, n in self.size.items()}
+        shared: dict[tuple[int, ...], tuple[tuple[int, int], ...]] = {}
+        self.goto, self.link, self.found = goto, link, [shared.setdefault(x, tuple(map(sized.__getitem__, x))) for x in chainof]
 
     def apart(self, left: int, right: int) -> bool:
         """Whether left and right, put side by side, encode to just these two tokens.
@@ -190,7 +197,7 @@ class Encoder:
         if not OTHER(text):
             return self.split(unicodedata.normalize("NFC", text).lower())
         # Beyond Latin, releases of Unicode differ in what is a letter: the splitter itself says what the words are.
-        pieces = self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(text))
+        pieces = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))
         return [bytes(map(self.byte_of.__getitem__, x)).decode() for x, _ in pieces]
 
     def plain(self, text: str) -> list[int]:
@@ -199,12 +206,19 @@ class Encoder:
             return list(chain.from_iterable([kept[w] for w in words]))
         except KeyError:
             pass
-        if len(kept) > WORDS_KEPT:
+        if self.words_size > WORDS_KEPT:
             kept.clear()
+            self.words_size = 0
+        out = []
         for w in words:
-            if w not in kept:
-                kept[w] = self.word(w)
-        return list(chain.from_iterable([kept[w] for w in words]))
+            ids = kept.get(w)
+            if ids is None:
+                ids = self.word(w)
+                if len(w) < LONG:  # a longer one hardly comes again
+                    kept[w] = ids
+                    self.words_size += 200 + 4 * len(w) + 8 * len(ids)
+            out += ids
+        return out
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
