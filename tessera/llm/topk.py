@@ -1,9 +1,14 @@
 """Exact top-k by inner product: a ball tree per shard, searched by branch and bound.
 
-Rows are dealt by a hash to shards, and queries to blocks, both of bounded size; a task holds one of each. A node of a tree
-bounds the inner product of a query q with any point below it by q.centre + |q| * radius. Nodes are taken in the order of
-that bound, until it is less than the query's kth score so far. Each query first searches one shard; the kth score found
-there goes along to all others, where most nodes then need no look. Scores are exact integers; ties go to the smaller id.
+Vectors stay where they are read: a task builds a tree over each ``SHARD_ROWS`` of them, one after another, and asks each tree
+all queries of a block, which is of a bounded size and goes to every task. A node of a tree bounds the inner product of a
+query q with any point below it by q.centre + |q| * radius. Nodes are taken in the order of that bound, until it is less than
+the query's kth score so far. That kth score is shared: a first job searches one shard for all queries, all tasks begin with
+the kth scores found there, and a task goes on from shard to shard with what it has. A task gives k answers to a query, however
+many shards it had; the best of all tasks are the answer. Scores are exact integers; ties go to the smaller id.
+
+A block of queries is one pass over the vectors. Both are a fixed share of the rows in the query of this package, so there the
+passes are one for each 3 million rows of 64 components, and what is shuffled is k rows for each query and task.
 
 Components are floor(256 * x). Rows that are null, hold a null or non-finite component, or have no id take no part; vectors
 of different length are compared as if the shorter went on with zeros; a query's own row is every row with its id, and
@@ -14,6 +19,7 @@ all their answers. Components so large that a score wouldn't fit a long raise an
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import spread
 
-SHARD_ROWS, BLOCK_ROWS, LEAF = 20_000, 2_000, 128
-LEAST_SHARDS = 8
+SHARD_ROWS, LEAF = 20_000, 128
+BLOCK_ROWS, BLOCK_BYTES = 60_000, 48 << 20  # of queries that go to every task at once
 
 
 def whole_vectors(embeddings: DataFrame) -> DataFrame:
@@ -78,8 +84,10 @@ class BallTree:
         self.exact = big * big * max(1, x.shape[1]) < 2**53
         self.scale = big * np.sqrt(max(1, x.shape[1]))
 
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int, bounds: np.ndarray) -> list[list[tuple[int, int]]]:
-        """For each query at most k (score, id), the best first, of those that reach its bound; rows of its own id stay out."""
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, found: list[list[tuple[int, int]]], bounds: np.ndarray) -> None:
+        """Adds to the (score, -id) found so far for each query, at most k and kept as a heap, those that reach its bound and raises that;
+        rows of a query's own id stay out.
+        """
         norms = np.sqrt((queries**2).sum(1))
         # The bounds of all nodes at once, with room for rounding.
         upper = queries @ self.centres.T + norms[:, None] * self.radii[None]
@@ -87,11 +95,9 @@ class BallTree:
         if np.abs(queries).max(initial=0) * np.abs(self.x).max(initial=0) * max(1, queries.shape[1]) >= 2**62:
             raise ValueError("scores of such large components don't fit a long")
         ints = None if self.exact and (np.abs(queries).max(initial=0) * self.scale * np.sqrt(queries.shape[1]) < 2**53) else self.x.astype(np.int64)
-        out = []
-        for q, me, bound, up in zip(queries, own.tolist(), bounds.tolist(), upper, strict=True):
-            best: list[tuple[int, int]] = []  # (score, -id); the worst first
+        for n, (q, me, up, best) in enumerate(zip(queries, own.tolist(), upper, found, strict=True)):
             heap = [(-up[0], 0)]
-            least = bound
+            least = bounds[n]
             while heap and -heap[0][0] >= least:
                 _, lo, hi, left, right = self.nodes[heapq.heappop(heap)[1]][1:]
                 if left >= 0:
@@ -111,55 +117,68 @@ class BallTree:
                         heapq.heapreplace(best, got)
                 if len(best) == k:
                     least = max(least, best[0][0])
-            out.append([(s, -i) for s, i in sorted(best, reverse=True)])
-        return out
-
-
-def searched(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score, times): each block of queries against each shard it shares a (shard, block) with."""
-
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        cols: list[list[int]] = [[], [], [], []]
-        if left.num_rows and right.num_rows:
-            x, q = matrix(left["e"]), matrix(right["q"])
-            width = max(x.shape[1], q.shape[1])
-            x, q = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, q))
-            own = np.asarray(right["qid"])
-            bounds = np.asarray(right["bound"], dtype=np.float64)
-            found = BallTree(np.asarray(left["id"]), x).search(q, own, k, bounds)
-            for me, times, best in zip(own.tolist(), right["times"].to_pylist(), found, strict=True):
-                for score, i in best:
-                    for c, v in zip(cols, (me, i, score, times), strict=True):
-                        c.append(v)
-        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score", "times"])
-
-    return rows.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(run, "query_id long, vec_id long, score long, times long")
+            bounds[n] = least
+
+
+def searched(rows: DataFrame, asked: pa.Table, bounds: np.ndarray, k: int) -> DataFrame:
+    """(n, vec_id, score): for the nth query asked, at most k rows of each task that reach its bound. A task has one tree at a time."""
+    sent = rows.sparkSession.sparkContext.broadcast((np.asarray(asked["id"]), matrix(asked["e"]), bounds))  # one block
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, queries, least = sent.value
+        least, found = least.copy(), [[] for _ in own]
+        held: list[pa.RecordBatch] = []
+
+        def search() -> None:
+            ids = np.concatenate([np.asarray(b.column(0)) for b in held])
+            parts = [matrix(b.column(1)) for b in held]
+            width = max(queries.shape[1], *(p.shape[1] for p in parts))
+            x = np.concatenate([np.pad(p, ((0, 0), (0, width - p.shape[1]))) for p in parts])
+            BallTree(ids, x).search(np.pad(queries, ((0, 0), (0, width - queries.shape[1]))), own, k, found, least)
+            held.clear()
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, SHARD_ROWS):
+                held.append(batch.slice(at, SHARD_ROWS))
+                if sum(b.num_rows for b in held) >= SHARD_ROWS:
+                    search()
+        if held:
+            search()
+        out = [(n, -i, s) for n, best in enumerate(found) for s, i in best]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["n", "vec_id", "score"])
+
+    return rows.mapInArrow(run, "n long, vec_id long, score long")
+
+
+def answers(rows: DataFrame, asked: pa.Table, share: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score, times) for one block of queries: a first search in one of ``share`` parts of the rows, then all."""
+    n = asked.num_rows
+    part = rows.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(share)) == 0).coalesce(1) if share > 1 else None
+    bounds = np.full(n, -np.inf)
+    if part is not None:
+        first = searched(part, asked, bounds, k).groupBy("n").agg(F.count("*").alias("c"), F.min("score").alias("kth")).where(F.col("c") >= k).toArrow()
+        bounds[np.asarray(first["n"])] = np.asarray(first["kth"])
+    names = rows.sparkSession.createDataFrame(pa.table({"n": pa.array(range(n), pa.int64()), "query_id": asked["id"], "times": asked["times"]}))
+    return searched(rows, asked, bounds, k).join(F.broadcast(names), "n").drop("n")
 
 
 def top_k(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``every``, against all rows."""
     rows = whole_vectors(embeddings)
-    n, n_queries = rows.agg(F.count("*"), F.count_if(F.col("id") % every == 0)).first()
-    shards = max(LEAST_SHARDS, -(-n // SHARD_ROWS))
-    blocks = max(1, -(-n_queries // BLOCK_ROWS))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int"))
-    asked = rows.where(F.col("id") % every == 0).groupBy("id", "e").agg(F.count("*").alias("times")).select(
-        F.col("id").alias("qid"),
-        F.col("e").alias("q"),
-        "times",
-        F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).cast("int").alias("block"),
-        F.pmod(F.xxhash64("id", F.lit(3)), F.lit(shards)).cast("int").alias("pilot"),
-    )
-    each = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    low = F.lit(float("-inf"))
-    first = written(searched(each, asked.withColumn("shard", F.col("pilot")).withColumn("bound", low), k), "top-k-first")
-    # The kth score in one shard is a lower bound of the kth score in all.
-    kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("kth"))
-    others = (
-        asked.join(kth.withColumnRenamed("query_id", "qid"), "qid", "left")
-        .select("qid", "q", "times", "block", F.coalesce("kth", low).alias("bound"), F.explode(F.expr(f"filter(sequence(0, {shards - 1}), s -> s <> pilot)")).alias("shard"))
-    )
+    queries = rows.where(F.col("id") % every == 0)
+    n, n_queries, width = rows.agg(F.count("*"), F.count_if(F.col("id") % every == 0), F.coalesce(F.max(F.size("e")), F.lit(0))).first()
+    blocks = max(1, -(-n_queries // BLOCK_ROWS), -(-n_queries * (8 * width + 200) // BLOCK_BYTES))
+    found = None
+    for b in range(blocks):  # one pass each
+        own = queries.where(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)) == b)
+        asked = own.groupBy("id", "e").agg(F.count("*").alias("times")).toArrow()
+        if asked.num_rows:
+            got = answers(spread(rows), asked, -(-n // SHARD_ROWS), k)
+            found = got if found is None else found.unionByName(got)
+    if found is None:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     # Each pair of a distinct query and a row was met once; a query that stands there n times has each answer n times.
-    found = first.unionByName(searched(each, others, k)).withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k)))))
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("times", F.lit(k)))))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
