@@ -2,24 +2,31 @@
 
 A surrogate is the image of the entity under a keyed permutation of all strings of its format: letters stay letters of
 their script and kind (vowels for vowels, so that names can be read; a last letter stays, and with it the gender that it
-shows), digits stay digits, card numbers keep a right check digit, addresses of machines stay valid, signs stay. So equal
+shows; in scripts that aren't listed, letters of the same block and category), digits stay digits, card and account numbers
+keep right check digits, addresses of machines and dates stay valid, signs stay. Names that are listed by script, gender and
+length are permuted among these, all others among the strings that aren't listed. So equal
 entities get equal surrogates in every document, different ones different surrogates, without a table of what was seen:
 the permutation can't collide. It also has no fixed point: it is a shift by a keyed step, seen through another permutation.
+What has nothing to permute, such as signs only, gets a keyed label instead, so nothing that was found stays in clear.
 Spelling variants of an entity share their letters and digits and so their surrogate's: case, and in a phone number every
 sign between the digits, as it is permuted over its country's code and bare digits and then filled into its format again (a
 North American number without a code counts as one with +1; a "(0)" stays). The words of a name found with a title, as many
 as there are, are replaced wherever the document has them, its initials there only; joining words (van, de la) stay.
 ``entities`` lists what was found; ``collisions`` checks distinctness over a whole corpus.
 
-Found are: e-mail addresses, phone numbers, IPv4 addresses, card numbers with a right check digit, social security numbers,
-long hexadecimal secrets, values behind words such as token or password, and names behind a title.
+Found are: e-mail addresses, phone numbers, IPv4 and IPv6 addresses, card and bank account numbers (IBAN) with right check
+digits, social security numbers, long hexadecimal secrets, values behind words such as token or password, dates behind words
+of birth, street names with a number, and names behind a title.
 
 A null text stays null and an empty one empty; both have no entities. Repeated rows stay. A null id changes nothing.
 """
 
 from __future__ import annotations
 
+import datetime
+import ipaddress
 import re
+import unicodedata
 from collections import Counter
 from functools import lru_cache
 from hashlib import blake2b
@@ -30,14 +37,45 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, replace_rows, spread
 
-KINDS = ("card", "email", "ip", "name", "phone", "secret", "ssn")
 # Letters that may stand for each other, by script and kind.
 CLASSES = (
     "0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèéêëìíîïòóôõöøùúûüœ", "çñýÿßðþšžčřłśźćń",
     "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ",
 )
-CLASS_OF = {c: (k, i) for k, x in enumerate(CLASSES) for i, c in enumerate(x)}
+CLASS_OF = {c: (x, i) for x in CLASSES for i, c in enumerate(x)}
+# Given names of women and of men, and family names; those of one length stand for each other.
+LISTED = (
+    "Anna Emma Ella Nora Rosa Vera Lena Lisa Dora Maria Clara Julia Laura Paula Sofia Elena Diana Carla Teresa Amanda Monica Angela Helena Claudia Martina Barbara Antonia Roberta",
+    "Karl Paul Hans Mark John Ivan Erik Peter David Simon James Oscar Henry Jakob Martin Thomas Daniel Robert Walter Samuel Michael Charles Richard Antonio Giovanni Benjamin",
+    "Wolf Bauer Weber Meyer Klein Braun Smith Jones Brown Lopez Perez Rossi Silva Becker Müller Wagner Miller Wilson Taylor Garcia Torres Moreno Martin Schmidt Fischer Schwarz Johnson Roberts Bernard Dubois Hoffmann Williams Anderson Martinez Gonzalez",
+    "Анна Вера Нина Инна Мария Елена Ольга Ирина Галина Марина Полина Татьяна Наталья", "Иван Пётр Олег Юрий Павел Семён Антон Роман Максим Андрей Сергей Михаил Николай", "Иванов Петров Орлов Козлов Волков Смирнов Соколов Попов Лебедев Морозов",
+)
 HEX = "0123456789abcdef"
+
+
+@lru_cache(4096)
+def alphabet(c: str) -> tuple[str, int] | None:
+    """What a lower-case letter or digit may become, and its place there: its class, or its like in its block of 128."""
+    if c in CLASS_OF:
+        return CLASS_OF[c]
+    kind = unicodedata.category(c)
+    if kind[0] not in "LN":
+        return None
+    block = [x for x in map(chr, range(ord(c) & ~127, (ord(c) | 127) + 1)) if unicodedata.category(x) == kind and x not in CLASS_OF and x.lower() == x]
+    return ("".join(block), block.index(c)) if c in block else None
+
+
+def _listed() -> dict[str, tuple[tuple[str, ...], int]]:
+    out: dict[str, tuple[tuple[str, ...], int]] = {}
+    for names in LISTED:
+        for n in range(3, 10):
+            own = tuple(x for x in names.lower().split() if len(x) == n and x not in out)
+            if len(own) > 1:
+                out |= {x: (own, k) for k, x in enumerate(own)}
+    return out
+
+
+LISTED_NAMES = _listed()
 TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Señor", "Señora", "Sr", "Sra", "Monsieur", "Madame", "Mme", "Mlle", "Signor", "Signora", "Господин", "Госпожа", "Κύριος", "Κυρία")
 
 EMAIL = re.compile(r"(?<![\w.+-])[\w][\w.+-]*@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}(?![\w@])")
@@ -49,6 +87,12 @@ NUMBER = re.compile(
     r"|(?P<card>\d(?:[ -]?\d){12,18}(?![\w]))"
     r")"
 )
+IPV6 = re.compile(r"(?<![\w:.])(?=[0-9a-fA-F:]*\d)(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){7}|(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,6})?::(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,6})?)(?![\w:])")
+IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+BORN = re.compile(r"(?i)\b(?:born(?: on)?|dob|date of birth|birth ?date|birthday|geboren(?: am)?|geburtsdatum|née? le|date de naissance|nacid[oa] el|fecha de nacimiento)\b[ \xa0]?:?[ \xa0]?(\d{4}([-./])\d{1,2}\2\d{1,2}|\d{1,2}([-./])\d{1,2}\3\d{4})(?!\w)")
+STREET = re.compile(r"(?<![\w.,])(?:\d{1,5} (?:[A-Z][a-z]+ ){1,3}(?:Street|Avenue|Road|Lane|Drive|Boulevard|Square|Court)|[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|gasse|allee|platz) \d{1,4}[a-z]?)(?!\w)")
+STREET_KIND = re.compile(r"Street|Avenue|Road|Lane|Drive|Boulevard|Square|Court|straße|strasse|gasse|allee|platz")
+FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), 47_482  # to the end of 2029
 SECRET = re.compile(r"(?<![\w])(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{32,}(?![\w])")
 BEHIND = re.compile(r"(?i)\b(?:token|secret|passwor[dt]|passwd|pwd|api[ _-]?key|access[ _-]?key)\b\s*[=:]\s*([\"']?)([^\s\"'&%*$#]{6,})\1")
 UPPER = f"[{re.escape(''.join(c for c in map(chr, range(1 << 16)) if c.isupper()))}]"
@@ -74,6 +118,11 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+def remainder97(plain: str) -> int:
+    """Of an account number's characters as a number, letters counting from 10 on."""
+    return int("".join(str(int(c, 36)) for c in plain)) % 97
+
+
 class Surrogates:
     def __init__(self, key: bytes):
         self.key = key
@@ -119,17 +168,69 @@ class Surrogates:
 
     def spelled(self, kind: str, text: str, keep_last: bool = False) -> str:
         """Letters and digits permuted within their classes, case and signs as they were."""
-        at = [(k, *CLASS_OF[c.lower()]) for k, c in enumerate(text) if c.lower() in CLASS_OF and len(c.lower()) == 1]
-        if keep_last and len(at) > 1 and at[-1][1]:
-            kept = at.pop()
-            kind = f"{kind}{kept[1:]}"
+        at = [(k, *a) for k, c in enumerate(text) if len(c.lower()) == 1 and (a := alphabet(c.lower()))]
+        if keep_last and len(at) > 1 and at[-1][1] != CLASSES[0]:
+            _, of, place = at.pop()
+            kind = f"{kind}{(CLASSES.index(of) if of in CLASSES else of, place)}"
         out = list(text)
-        for (k, c, _), v in zip(at, self.permuted(kind, [(i, len(CLASSES[c])) for _, c, i in at]), strict=True):
-            x = CLASSES[c][v]
+        for (k, of, _), v in zip(at, self.permuted(kind, [(i, len(of)) for _, of, i in at]), strict=True):
+            x = of[v]
             out[k] = x.upper() if text[k].isupper() and len(x.upper()) == 1 else x
         return "".join(out)
 
+    def named(self, word: str) -> str:
+        """A listed name by another of its list, any other by one that isn't listed: so neither can take the other's."""
+        got = LISTED_NAMES.get(word.lower())
+        if got is not None:
+            own, place = got
+            new = own[self.permuted(f"listed{own[0]}", [(place, len(own))])[0]]
+            return new.upper() if word.isupper() else new.capitalize() if word[0].isupper() else new
+        new = self.spelled("name", word, keep_last=True)
+        while new.lower() in LISTED_NAMES:
+            new = self.spelled("name", new, keep_last=True)
+        return new
+
+    def dated(self, text: str) -> str:
+        """Another day of the same years, written alike. Of day and month the first is the day with dots, else the second if both could be."""
+        sign = next(c for c in text if not c.isdigit())
+        parts = text.split(sign)
+        year = 0 if len(parts[0]) == 4 else 2
+        x, y = (int(p) for k, p in enumerate(parts) if k != year)
+        day_first = not year == 0 and (x > 12 or y <= 12 and sign == ".")
+        day, month = (x, y) if day_first else (y, x)
+        try:
+            place = datetime.date(int(parts[year]), month, day).toordinal() - FIRST_DAY
+        except ValueError:
+            return self.spelled("date", text)
+        if not 0 <= place < DAYS:
+            return self.spelled("date", text)
+        new = datetime.date.fromordinal(FIRST_DAY + self.permuted("date", [(place, DAYS)])[0])
+        rest = iter([new.day, new.month] if day_first else [new.month, new.day])
+        return sign.join(str(new.year) if k == year else f"{next(rest):0{len(p)}d}" for k, p in enumerate(parts))
+
     def _of(self, kind: str, text: str) -> str:
+        new = self._surrogate(kind, text)
+        # Nothing to permute in it: a keyed label, long enough not to collide.
+        return new if new != text else f"[{kind}-{blake2b(text.lower().encode(), key=self.key, digest_size=10).hexdigest()}]"
+
+    def _surrogate(self, kind: str, text: str) -> str:
+        if kind == "ip" and ":" in text:
+            digits = ipaddress.IPv6Address(text).exploded.replace(":", "")
+            got = "".join(HEX[v] for v in self.permuted("ipv6", [(HEX.index(c), 16) for c in digits]))
+            new = ipaddress.IPv6Address(int(got, 16))
+            out = new.compressed if "::" in text else ":".join(f"{int(x, 16):x}" for x in new.exploded.split(":"))
+            return out.upper() if text != text.lower() else out
+        if kind == "iban":
+            plain = text.replace(" ", "")
+            body = self.spelled(f"iban{plain[:2]}{len(plain)}", plain[4:]).upper()
+            new = iter(plain[:2] + f"{98 - remainder97(body + plain[:2] + '00'):02d}" + body)
+            return "".join(c if c == " " else next(new) for c in text)
+        if kind == "date":
+            return self.dated(text)
+        if kind == "street" and (kept := STREET_KIND.search(text)):
+            parts = re.split(r"(\d+)", text[: kept.start()] + "\0" + text[kept.end() :])
+            number = lambda x: "".join(str(v + (b == 9)) for v, b in self._number(x))
+            return "".join(number(x) if k % 2 else self.spelled("street", x) for k, x in enumerate(parts)).replace("\0", kept[0])
         if kind == "ip":
             octets = [int(x) for x in text.split(".")]
             first = (octets[0] - 1, 223) if 0 < octets[0] < 224 else (max(0, octets[0] - 223), 33)
@@ -160,15 +261,29 @@ class Surrogates:
             kept = re.search(r"(?i)(?:^|\.)example$", name)
             return self.spelled("email", f"{local}@{name[: kept.start()] if kept else name}") + (name[kept.start() :] if kept else "") + "." + top
         if kind == "name":
-            return " ".join(self.spelled("name", w, keep_last=True) for w in text.split(" "))
+            return " ".join(self.named(w) for w in text.split(" "))
         return self.spelled(kind, text)
 
+    def _number(self, digits: str) -> list[tuple[int, int]]:
+        """Digits of a number that doesn't begin with 0, with what each can be."""
+        places = [(int(c) - 1, 9) if k == 0 and c != "0" else (int(c), 10) for k, c in enumerate(digits)]
+        return list(zip(self.permuted("number", places), (b for _, b in places), strict=True))
+
     @staticmethod
     def _refilled(text: str, digits: list[str]) -> str:
         given = iter(digits)
         return "".join(next(given) if c.isdigit() else c for c in text)
 
 
+def _is_ipv6(text: str) -> bool:
+    """An address of some machine: not the own one, nor what isn't one."""
+    try:
+        a = ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return not (a.is_loopback or a.is_unspecified)
+
+
 def found(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities, in order and apart; of those that overlap the first, of those the longest."""
     out = []
@@ -186,6 +301,14 @@ def found(text: str) -> list[tuple[int, int, str]]:
             if m[0].isascii():
                 out.append((*m.span(), kind))
         out += [(*m.span(), "secret") for m in SECRET.finditer(text)]
+        for m in IBAN.finditer(text):
+            plain = m[0].replace(" ", "")
+            if 15 <= len(plain) <= 34 and remainder97(plain[4:] + plain[:4]) == 1:
+                out.append((*m.span(), "iban"))
+        out += [(*m.span(1), "date") for m in BORN.finditer(text)]
+        out += [(*m.span(), "street") for m in STREET.finditer(text)]
+        if ":" in text:
+            out += [(*m.span(), "ip") for m in IPV6.finditer(text) if _is_ipv6(m[0])]
     if "=" in text or ":" in text:
         out += [(*m.span(2), "secret") for m in BEHIND.finditer(text)]
     if any(t in text for t in TITLES):
