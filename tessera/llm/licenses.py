@@ -11,9 +11,10 @@ A notice may also be wrapped over lines: it is found in a text of several lines
 each other in its order, across the ends of lines, with at most ``BETWEEN`` other words (marks of comments, words that
 the notice repeats) between two. The SQL states the blocks of one line only: it has the same rows where no notice is wrapped.
 
-Whole texts are read, with A-Z lowered: lower() does so, and of other characters only the Kelvin sign would become a letter of
+Texts are read once: what a row's phrases, wrapped notices and blocks give goes to a table without texts in the shared folder,
+and words are counted, prefixes joined and results put together from that. Whole texts are read, with A-Z lowered: lower() does so, and of other characters only the Kelvin sign would become a letter of
 ASCII alone; it is made another one first. A null text counts as empty: no words, no labels, score 0.
-A null id keeps its row. Rows with one id and one text are one to the join and repeated in the result. The score is 1 with
+A null id keeps its row, and repeated rows are rows of their own: the join is by a number that each row has in the table. The score is 1 with
 a phrase, else the largest share of a notice's words found, if that reaches the threshold, else 0.
 """
 
@@ -25,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread
+from .common import spread, written
 
 CONTAINED = 0.9  # notices that differ in one of seven words must not stand for each other
 BETWEEN = 4
@@ -75,23 +76,32 @@ def in_order(words: list[str], missing: int) -> str:
     return rest(0, missing, "")
 
 
-def wrapped_notices(low: Column, norm: Column) -> Column:
-    """Array of (label, share) of the notices whose words stand in order anywhere in a text of several lines."""
+def wrapped_notices(norm: Column, present: Column, n_lines: Column) -> Column:
+    """Array of (label, share) of the notices whose words stand in order anywhere in a text of several lines.
+
+    present: the words of notices that the text has; a notice with too few of them there needs no pattern.
+    """
     found = []
     for label, notice in NOTICES.items():
         words = list(dict.fromkeys(notice.split()))
-        n, need = len(words), least_common(len(set(words)))
-        # One of any n - need + 1 words must be there, then enough of all: few texts are left for the patterns.
-        some = reduce(Column.__or__, [F.contains(norm, F.lit(w)) for w in sorted(words, key=len)[need - 1 :]])
-        here = F.contains(low, F.lit("\n")) & some & (F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(norm, w))) >= need)
+        n, need = len(words), least_common(len(words))
+        here = (n_lines > 1) & (F.size(F.array_intersect(present, F.array(*map(F.lit, words)))) >= need)
         share = reduce(lambda x, m: x.when(F.concat(F.lit(" "), norm, F.lit(" ")).rlike(in_order(words, m)), F.lit((n - m) / n)), range(n - need + 1), F)  # noqa: B023
         found.append(F.when(here & share.isNotNull(), F.struct(F.lit(label).alias("label"), share.alias("share"))))
     return F.array_compact(F.array(*found))
 
 
-def phrase_places(docs: DataFrame) -> DataFrame:
-    """docs (with ``low``) and n_words, n_base, first_word, last_word, base, wrapped."""
-    out = docs.withColumn("norm", normal(F.col("low"))).withColumn("n_words", count_words(F.col("norm")))
+def read_once(docs: DataFrame) -> DataFrame:
+    """k (a number of the row), id, n_words, n_base, first_word, last_word, base, wrapped, blocks for docs of (id, low).
+
+    blocks: of each line with enough of them, the distinct words that any notice has.
+    """
+    vocabulary = F.array(*map(F.lit, sorted({w for n in NOTICES.values() for w in n.split()})))
+    fewest = min(least_common(len(set(n.split()))) for n in NOTICES.values())
+    out = docs.withColumn("lines", F.transform(F.split("low", "\n"), normal))
+    out = out.withColumn("held", F.transform("lines", lambda x: F.array_intersect(F.split(x, " "), vocabulary)))
+    out = out.withColumn("norm", F.array_join(F.filter("lines", lambda x: x != ""), " "))
+    out = out.withColumn("n_words", count_words(F.col("norm"))).withColumn("present", F.array_distinct(F.flatten("held")))
     # Every word with a blank of its own on either side: places are then plain substrings, and words before are blanks by two.
     wide = F.concat(F.lit(" "), F.replace("norm", F.lit(" "), F.lit("  ")), F.lit(" "))
     some = F.lit(False)
@@ -112,29 +122,22 @@ def phrase_places(docs: DataFrame) -> DataFrame:
         lasts.append(F.when(n > 0, F.col("n_words") - len(p.split()) - words_in(F.substring_index(w, inside, -1)).cast("long")))
     labels = F.array_compact(F.array(*[F.when(n > 0, F.lit(label)) for n, label in zip(counts, PHRASES.values(), strict=True)]))
     return out.select(
-        *docs.columns,
+        F.monotonically_increasing_id().alias("k"),
+        "id",
         "n_words",
         sum(counts[1:], counts[0]).alias("n_base"),
         F.least(*firsts).alias("first_word"),
         F.greatest(*lasts).alias("last_word"),
         F.array_sort(labels).alias("base"),
-        wrapped_notices(F.col("low"), F.col("norm")).alias("wrapped"),
+        wrapped_notices(F.col("norm"), F.col("present"), F.size("lines")).alias("wrapped"),
+        F.filter("held", lambda x: F.size(x) >= fewest).alias("blocks"),
     )
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """(id, h, held: the block's distinct words that any notice has) of blocks with enough of them."""
-    vocabulary = sorted({w for n in NOTICES.values() for w in n.split()})
-    fewest = min(least_common(len(set(n.split()))) for n in NOTICES.values())
-    lines = docs.select("id", "h", F.explode(F.split("low", "\n")).alias("line"))
-    held = F.array_intersect(F.split(normal(F.col("line")), " "), F.array(*map(F.lit, vocabulary)))
-    return lines.select("id", "h", held.alias("held")).where(F.size("held") >= fewest)
-
-
-def notice_matches(docs: DataFrame) -> DataFrame:
-    """(id, h, label, share) for each document and notice found in one of its blocks."""
-    spark = docs.sparkSession
-    found = blocks(docs)
+def notice_matches(read: DataFrame) -> DataFrame:
+    """(k, label, share) for each row and notice found in one of its blocks."""
+    spark = read.sparkSession
+    found = read.select("k", F.explode("blocks").alias("held"))
     # At most one row for each word of the notices.
     counted = {r.w: r.n for r in found.select(F.explode("held").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
     words = sorted({w for n in NOTICES.values() for w in n.split()}, key=lambda w: (counted.get(w, 0), w))
@@ -148,27 +151,25 @@ def notice_matches(docs: DataFrame) -> DataFrame:
     notices = spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(names, x, strict=True)]) for x in prefixes])))
     fewest = min(x[5] for x in prefixes)
     rank = F.create_map(*[F.lit(x) for w in words for x in (w, order[w])])
-    ranked = found.select("id", "h", F.array_sort(F.transform("held", lambda w: rank[w])).alias("ranks"))
+    ranked = found.select("k", F.array_sort(F.transform("held", lambda w: rank[w])).alias("ranks"))
     # A block's own prefix, as long as the notice that asks for least needs it.
-    probing = ranked.select("id", "h", "ranks", F.posexplode(F.slice("ranks", F.lit(1), F.size("ranks") - fewest + 1)).alias("at", "word"))
+    probing = ranked.select("k", "ranks", F.posexplode(F.slice("ranks", F.lit(1), F.size("ranks") - fewest + 1)).alias("at", "word"))
     pairs = (
         probing.join(F.broadcast(notices), "word")  # a fixed table
         .where((F.size("ranks") >= F.col("need")) & (F.least(F.col("n") - F.col("place"), F.size("ranks") - F.col("at")) >= F.col("need")))
-        .select("id", "h", "label", (F.size(F.array_intersect("ranks", "own"))).alias("both"), "n", "need")
+        .select("k", "label", (F.size(F.array_intersect("ranks", "own"))).alias("both"), "n", "need")
         .where("both >= need")
     )
-    return pairs.groupBy("id", "h", "label").agg(F.max(F.col("both") / F.col("n")).alias("share"))
+    return pairs.groupBy("k", "label").agg(F.max(F.col("both") / F.col("n")).alias("share"))
 
 
 def scan(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row."""
-    text = F.coalesce("text", F.lit(""))
-    docs = spread(documents.select("doc_id", "text")).select(F.col("doc_id").alias("id"), F.xxhash64(text, F.length(text)).alias("h"), F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u0138"))).alias("low"))
-    found = notice_matches(docs).groupBy("id", "h").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
-    own = phrase_places(docs).drop("low")
-    found = found.withColumnsRenamed({"id": "id2", "h": "h2"})
+    docs = spread(documents.select("doc_id", "text"))
+    read = written(read_once(docs.select(F.col("doc_id").alias("id"), F.lower(F.replace(F.coalesce("text", F.lit("")), F.lit("\u212a"), F.lit("\u0138"))).alias("low"))), "license-blocks")
+    found = notice_matches(read).groupBy("k").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
     more = F.concat(F.coalesce("more", F.array().cast("array<string>")), F.col("wrapped.label"))
-    return own.join(found, own.id.eqNullSafe(found.id2) & (own.h == found.h2), "left").select(
+    return read.join(found, "k", "left").select(
         F.col("id").alias("doc_id"),
         "n_words",
         "n_base",

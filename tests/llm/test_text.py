@@ -332,6 +332,18 @@ def test_licenses_run_in_the_jvm_only(make, texts):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_texts_are_read_in_the_jvm_too(make, texts):
+    docs = make(texts).select(F.col("doc_id").alias("id"), F.col("text").alias("low"))
+    read = licenses.read_once(docs)
+    assert not re.search("Python|Pandas|Arrow", read._jdf.queryExecution().toString()) and "low" not in read.columns
+
+
+def test_license_rows_of_no_id_and_one_text(make):
+    rows = [(None, "released under the MIT license")] * 3 + [(1, "released under the MIT license"), (None, None)]
+    got = sorted(((r.doc_id, r.labels) for r in licenses.scan(make(rows)).collect()), key=str)
+    assert got == [(1, "mit"), (None, ""), (None, "mit"), (None, "mit"), (None, "mit")]
+
+
 def test_permuted_words_of_a_benchmark_are_no_hit():
     h, _ = decontaminate.words(b"Alpha beta, GAMMA")
     same, _ = decontaminate.words("alpha beta gamma".encode())
