@@ -11,6 +11,7 @@ from . import oracle as O
 from .functions.quantize import Grid
 from .operators import analysis, anticipation, augment, corpus, decoding, doubling, lines, merges, windows
 from .operators import notes as N
+from .plans import runs
 from .plans import sweep as S
 from .plans.tables import settled
 from .sources.notes import notes_from_events, notes_from_lineitem, words_from_text
@@ -558,6 +559,28 @@ def packing_compare(spark, sf_dir):
     return windows.packing(enc.select("file_id", merges.count_symbols(F.col("enc")).alias("n_tokens")), WINDOW)
 
 
+COMPARED = [
+    *O.trained_notes(),
+    O.controls(O.RANDOM_CONTROL),
+    *O.sequence(),
+    O.indexed("seq", name="sx"),
+    f"st as materialized (select file_id, chunk_idx, seq, kind = 'CONTROL' as is_control, kind in ('EVENT', 'CONTROL') as is_note, coalesce({O.tokens_in('w.sym')}, 1)::bigint as n from (select *, {O.COMPOUND} as word from sx) x left join w{K} w using (word))",
+    "tk as (select file_id, is_control, row_number() over (partition by file_id order by chunk_idx, seq, j) - 1 as at_ from (select *, unnest(range(n)) as j from st))",
+    f"wn as (select file_id, bool_or(is_control) as c from tk group by file_id, at_ // {WINDOW} having count(*) = {WINDOW})",
+    """f as (select file_id, bpe, ctrl, words, plain from (select file_id, sum(n)::bigint as bpe, coalesce(sum(n) filter (is_control), 0)::bigint as ctrl, count(*) filter (is_note) as words from st group by file_id)
+  join (select file_id, 5 * count(*) as plain from notes group by file_id) using (file_id))""",
+    f"""sums as (select count(*) as n_files, sum(plain)::bigint as plain_tokens, sum(bpe)::bigint as bpe_tokens, sum(ctrl)::bigint as ctrl_tokens, sum(plain // {WINDOW} * {WINDOW})::bigint as plain_packed, sum(bpe // {WINDOW} * {WINDOW})::bigint as bpe_packed,
+  sum(plain // {WINDOW} * {WINDOW} // 5)::bigint as plain_notes_packed, sum(bpe // {WINDOW} * {WINDOW} * words // greatest(1, bpe))::bigint as bpe_words_packed, (select count(*) from wn) as n_windows, (select count(*) from wn where c) as n_anticipate from f)""",
+]
+
+
+@query("compare_encodings", O.statement(*COMPARED, final="select *, plain_tokens / greatest(1, bpe_tokens) as compression, n_anticipate / greatest(1, n_windows) as anticipate_fraction, ctrl_tokens / greatest(1, bpe_tokens) as ctrl_fraction from sums"))
+def compare_encodings(spark, sf_dir):
+    n = notes(spark, sf_dir)
+    words, vocab = note_words(spark, sf_dir)
+    return runs.compare(n, anticipation.sequence(anticipation.by_rate(n, 3), Grid()), vocab, merges.train_one(words, K), WINDOW)
+
+
 @query(
     "window_prefix",
     O.statement(

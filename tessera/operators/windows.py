@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions.quantize import CATEGORIES, FIELDS
 from .anticipation import draw
-from .merges import symbols
+from .corpus import INDICES, symbol, with_indices
+from .merges import count_symbols, encoded, symbols
 
 CHUNK = ("file_id", "chunk_idx")
 
@@ -49,6 +50,57 @@ def packing(words: DataFrame, size: int) -> DataFrame:
     )
 
 
+def slot_tokens(seq: DataFrame, vocab: DataFrame, merges: list[tuple[str, str, str]]) -> DataFrame:
+    """(file_id, chunk_idx, seq, is_note, is_control, n_tokens) of each slot; rests and separators are one token.
+
+    Controls are merged as events are, since a doubled vocabulary has every merge for them again. A chunk with a token that the
+    dictionary hasn't has no slots.
+    """
+    note = F.col("kind").isin("EVENT", "CONTROL")
+    each = with_indices(seq, vocab).withColumn("word", F.when(note, F.concat(*[symbol(F.col(c)) for c in INDICES])))
+    unknown = F.max((note & F.col("word").isNull()).cast("int")).over(Window.partitionBy(*CHUNK))
+    kept = each.withColumn("_unknown", unknown).where("_unknown = 0").select(*CHUNK, "seq", note.alias("is_note"), (F.col("kind") == "CONTROL").alias("is_control"), F.coalesce("word", F.lit("[000000]")).alias("word"))
+    return encoded(kept, merges).select(*CHUNK, "seq", "is_note", "is_control", F.when(F.col("is_note"), count_symbols(F.col("enc"))).otherwise(1).cast("long").alias("n_tokens"))
+
+
+def comparison(n: DataFrame, slots: DataFrame, size: int) -> DataFrame:
+    """One row: tokens of notes as five each and of slots as encoded, those of controls, what of them fills windows, and how many
+    windows hold a control. Files without slots are left out.
+
+    Places of slots in a file are running sums, and a control's windows the range that it stands in; ranges follow each other,
+    so those not counted before are counted by the last window so far. One shuffle by file serves; a file is a bounded group.
+    """
+    file = Window.partitionBy("file_id")
+    so_far = file.orderBy("chunk_idx", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    before = file.orderBy("chunk_idx", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    each = slots.withColumn("end", F.sum("n_tokens").over(so_far)).withColumn("full", F.floor(F.sum("n_tokens").over(file) / size))
+    each = each.withColumn("first", F.floor((F.col("end") - F.col("n_tokens")) / size)).withColumn("last", F.when(F.col("is_control"), F.least(F.floor((F.col("end") - 1) / size), F.col("full") - 1)))
+    each = each.withColumn("seen", F.coalesce(F.max("last").over(before), F.lit(-1).cast("long")))
+    new = F.greatest(F.lit(0).cast("long"), F.col("last") - F.greatest("first", F.col("seen") + 1) + 1)
+    of_slots = each.groupBy("file_id").agg(
+        F.sum("n_tokens").alias("bpe"),
+        F.coalesce(F.sum(F.when(F.col("is_control"), F.col("n_tokens"))), F.lit(0).cast("long")).alias("ctrl"),
+        F.count_if("is_note").alias("words"),
+        F.coalesce(F.sum(F.when(F.col("is_control"), new)), F.lit(0).cast("long")).alias("anticipates"),
+    )
+    files = of_slots.join(n.groupBy("file_id").agg((F.count("*") * 5).alias("plain")), "file_id")
+    full = lambda c: F.floor(F.col(c) / size) * size
+    sums = files.agg(
+        F.count("*").alias("n_files"),
+        F.sum("plain").alias("plain_tokens"),
+        F.sum("bpe").alias("bpe_tokens"),
+        F.sum("ctrl").alias("ctrl_tokens"),
+        F.sum(full("plain")).alias("plain_packed"),
+        F.sum(full("bpe")).alias("bpe_packed"),
+        F.sum(F.floor(full("plain") / 5)).alias("plain_notes_packed"),
+        F.sum(F.floor(full("bpe") * F.col("words") / F.greatest(F.lit(1).cast("long"), F.col("bpe")))).alias("bpe_words_packed"),
+        F.sum(F.floor(F.col("bpe") / size)).alias("n_windows"),
+        F.sum("anticipates").alias("n_anticipate"),
+    )
+    ratio = lambda x, y: F.col(x) / F.greatest(F.lit(1).cast("long"), F.col(y))
+    return sums.select("*", ratio("plain_tokens", "bpe_tokens").alias("compression"), ratio("n_anticipate", "n_windows").alias("anticipate_fraction"), ratio("ctrl_tokens", "bpe_tokens").alias("ctrl_fraction"))
+
+
 def training_windows(sequence_ids: DataFrame, size: int) -> DataFrame:
     """(file_id, chunk_idx, anticipates, ids): the first window of each chunk that fills one, its prefix put before, its last id dropped.
 
