@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.analysis import component_analysis, length_histogram, merged_categories, summary, token_frequency
-from ..operators.lines import characters
+from ..operators.lines import control_characters, event_characters
 from .files import key_of, read_corpus, store, stored, write_corpus, write_text
 
 # Names in the files.
@@ -37,9 +37,10 @@ def write_json(spark: SparkSession, value: dict, path: str) -> None:
 
 def write_dictionary(vocab: DataFrame, path: str, fingerprint: str = "", doubled: bool = False) -> None:
     """Tokens with their characters both ways, ASCII only; with ``doubled`` those of controls, too."""
-    own, ctrl = characters(vocab)
+    own = event_characters(vocab)
     data = {"fingerprint": fingerprint, PLAIN: own, PLAIN_BACK: {c: t for t, c in own.items()}}
     if doubled:
+        ctrl = control_characters(own)
         data |= {CONTROL: ctrl, CONTROL_BACK: {c: t for t, c in ctrl.items()}}
     write_json(vocab.sparkSession, data, path)
 

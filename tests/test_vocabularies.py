@@ -143,6 +143,22 @@ def test_decoding_of_lines(spark):
     assert [r.x for r in names] == ["ctrl_pitch-5", "<pitch-5>"]
 
 
+def test_dictionaries_with_no_room_for_controls(spark, tmp_path):
+    n = corpus.MOST_TOKENS // 2 + 64
+    vocab = corpus.numbered(spark.range(n).select(F.concat(F.lit("<time-"), "id", F.lit(">")).alias("token")))
+    places = {r.token: r.idx for r in vocab.where("token in ('<time-0>', '<time-29>', '<time-60000>')").collect()}
+    own = [private_character(places[f"<time-{k}>"]) for k in (0, 29, 60000)]
+    rows = spark.createDataFrame([(1, 0, " ".join(own))], "file_id long, chunk_idx long, text string")
+    coarse, new = lines.coarsened_lines(rows, vocab, "t", 1, 20)
+    of = {r.token: private_character(r.idx) for r in new.where("token in ('<time-0>', '<time-1>', '<time-3000>')").collect()}
+    assert coarse.first().text == " ".join(of[f"<time-{k}>"] for k in (0, 1, 3000))
+    assert [r.tokens for r in lines.notes_of_lines(rows, vocab).orderBy("pos").collect()] == [["<time-0>"], ["<time-29>"], ["<time-60000>"]]
+    artifacts.write_dictionary(vocab, f"{tmp_path}/d")
+    assert artifacts.read_dictionary(spark, f"{tmp_path}/d").count() == n
+    with pytest.raises(ValueError, match="private-use"):
+        artifacts.write_dictionary(vocab, f"{tmp_path}/e", doubled=True)
+
+
 def test_doubled_tokenizer_file(spark, small):
     n, vocab = small
     words = corpus.counted(corpus.words_of(corpus.with_indices(n, vocab)))
