@@ -10,6 +10,8 @@ Nulls and empty texts have no ids and decode to the empty string. Repeated rows
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import unicodedata
 from collections import deque
@@ -20,12 +22,12 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import map_arrow, spread
+from .common import gathered, map_arrow, spread
 
 END = 256  # added to the symbol of a word's last byte
-WORDS_KEPT = 96 << 20  # bytes of words and their ids
-PAIRS_KEPT = 500_000
-BEGINNING, BEGINNINGS_KEPT, LONG = 6, 100_000, 1000
+WORDS_KEPT = 32 << 20  # bytes of words and their ids
+PAIRS_KEPT = 200_000
+BEGINNING, BEGINNINGS_KEPT, LONG = 6, 40_000, 1000
 OTHER = regex.compile(r"[^\x00-\x1b\x20-\x84\x86-\u024f]").search
 
 
@@ -242,9 +244,18 @@ def encoder(path: str) -> Encoder:
     if path not in _made:
         with open(path, encoding="utf-8") as f:
             _made[path] = Encoder(f.read())
+        give_back()
     return _made[path]
 
 
+def give_back() -> None:
+    """What reading a tokenizer took and no longer needs goes back to the system, where its C library can do that."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def bpe_encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>, decoded string) for each row."""
     kind = df.schema[id_col].dataType.simpleString()
@@ -254,4 +265,4 @@ def bpe_encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", tex
         ids = [of.encode(t) for t in batch.column(1).to_pylist()]
         return pa.table({"id": batch.column(0), "ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(map(of.decode, ids), pa.string())})
 
-    return map_arrow(spread(df.select(id_col, text_col)), run, f"id {kind}, ids array<int>, decoded string", 500).withColumnRenamed("id", id_col)
+    return map_arrow(gathered(spread(df.select(id_col, text_col))), run, f"id {kind}, ids array<int>, decoded string", 500).withColumnRenamed("id", id_col)

@@ -72,6 +72,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """df in two tasks for each core at most, if it has less than SMALL_SHARE bytes for each core: rows in many small files
+    would else be as many tasks, each with a file and processes of its own. Nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > cores * SMALL_SHARE:
+        return df
+    return df.coalesce(2 * cores)
+
+
 def replace_rows(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], most: int = 500) -> DataFrame:
     """f on slices of all columns; it gives rows with the same columns."""
     return map_arrow(df, f, df.schema, most)

@@ -44,6 +44,13 @@ def test_bpe_of_any_text(text):
     assert of.decode(ids) == t.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_of_many_small_files(spark):
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(500).repartition(9 * cores).selectExpr("id as doc_id", "concat('word ', id) as text")
+    got = bpe.bpe_encode_decode(rows, word_tokenizer())
+    assert got.rdd.getNumPartitions() <= 2 * cores and got.select("doc_id").distinct().count() == got.count() == 500
+
+
 def test_bpe_keeps_few_words(monkeypatch, library):
     monkeypatch.setattr(bpe, "WORDS_KEPT", 3)
     monkeypatch.setattr(bpe, "PAIRS_KEPT", 3)
