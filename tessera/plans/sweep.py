@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import quantize as Q
-from ..operators.corpus import INDICES, counted, fine_grid, numbered, words_of
+from ..operators.corpus import INDICES, counted_notes, fine_grid, numbered, summed, words_of
 from ..operators.merges import evaluate, train
 from ..operators.notes import notes
 from .tables import settled
@@ -53,16 +53,29 @@ def grid_indices(finest: DataFrame) -> DataFrame:
 
 
 def sweep_words(raw: DataFrame, standalone: bool = False) -> DataFrame:
-    """(grp, word, n) with grp = factor|value. A note is looked up once for all grids of a factor, and its words counted."""
-    finest = settled(finest_notes(raw))
+    """(grp, word, n) with grp = factor|value. A factor's distinct notes on its finest grid are counted first, and coarsened from there.
+
+    Notes that coincide on a coarser grid have the other four fields the same: rows are dealt out by these once for all grids.
+    """
+    finest = settled(counted_notes(finest_notes(raw), "factor"))
     of = settled(grid_indices(finest))
-    out = finest
-    for f in Q.FIELDS:
-        side = of.where(F.col("field") == f).select("factor", F.col("value").alias(f), F.col("of").alias(f"{f}_of"))
-        out = out.join(F.broadcast(side), ["factor", f])  # bounded by the characters for tokens, which is checked
-    names = by_factor(lambda factor, _, values: F.array(*[F.lit(f"{factor}|{v:03d}") for v in values]))
-    grids = F.arrays_zip(names.alias("grp"), *[F.col(f"{f}_of").alias(i) for f, i in zip(Q.FIELDS, INDICES, strict=True)])
-    return counted(words_of(out.select(F.inline(grids).alias("grp", *INDICES)), standalone), "grp")
+    return reduce(DataFrame.unionByName, [_words_of_factor(finest, of, factor, standalone) for factor in FACTORS])
+
+
+def _words_of_factor(finest: DataFrame, of: DataFrame, factor: str, standalone: bool) -> DataFrame:
+    field, values = FACTORS[factor]
+    others = [f for f in Q.FIELDS if f != field]
+
+    def places(f: str) -> DataFrame:  # bounded by the characters for tokens, which is checked
+        return F.broadcast(of.where((F.col("factor") == factor) & (F.col("field") == f)).select(F.col("value").alias(f), F.col("of").alias(f"{f}_of")))
+
+    own = finest.where(F.col("factor") == factor).repartition(*others).join(places(field), field)
+    out = own.select(*others, "n", F.posexplode(f"{field}_of").alias("grid", f"{field}_idx")).groupBy(*others, "grid", f"{field}_idx").agg(F.sum("n").alias("n"))
+    for f in others:
+        out = out.join(places(f), f).withColumn(f"{f}_idx", F.get(f"{f}_of", F.col("grid"))).drop(f"{f}_of")
+    names = F.array(*[F.lit(f"{factor}|{v:03d}") for v in values])
+    words = words_of(out.select(F.get(names, F.col("grid")).alias("grp"), "n", *INDICES), standalone).select("grp", "word", "n")
+    return summed(words, "grp") if standalone else words
 
 
 def sweep(raw: DataFrame, k: int, standalone: bool = False) -> DataFrame:

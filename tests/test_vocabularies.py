@@ -306,3 +306,15 @@ def test_counted_notes_give_the_words_of_all_notes(spark, small, monkeypatch):
     # Two notes that are the same in different files are one row.
     same = spark.createDataFrame([(f, 1, 2, 3, 4, 5) for f in (1, 2)], "file_id long, t long, d long, p long, i long, v long")
     assert [tuple(r) for r in corpus.counted_notes(same).collect()] == [(1, 2, 3, 4, 5, 2)]
+
+
+def test_sweep_counts_notes_before_it_coarsens_them(spark, monkeypatch):
+    raw = notes_from_events(spark.read.parquet(f"{SMALL}/events.parquet"))
+    twice, kept, settled = raw.unionByName(raw.withColumn("file_id", F.col("file_id") + 1_000_000)), [], S.settled
+    monkeypatch.setattr(S, "settled", lambda df: kept.append(settled(df)) or kept[-1])
+    one, two = ({(r.grp, r.word): r.n for r in S.sweep_words(x, standalone=True).collect()} for x in (raw, twice))
+    assert two == {k: 2 * n for k, n in one.items()}
+    assert kept[0].count() == kept[2].count()  # copies of a note are one row from there on
+    n = corpus.coarsened(N.notes(raw, corpus.fine_grid("d", 1)), "d", 1, 10)
+    want = {r.word: r.n for r in corpus.counted(corpus.words_of(corpus.with_indices(n, corpus.vocabulary(n)), True)).collect()}
+    assert {w: k for (g, w), k in one.items() if g == "duration|010"} == want
