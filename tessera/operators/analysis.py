@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,12 +21,18 @@ def expansions(merges: list[tuple[str, str, str]]) -> dict[str, list[str]]:
     return out
 
 
+def _rows(spark: SparkSession, rows: list[tuple], schema: dict[str, pa.DataType]) -> DataFrame:
+    """Rows of the driver, as many as a vocabulary has, without a Python worker that gives them back."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, schema.values(), strict=True)], names=list(schema)))
+
+
 def token_table(vocab: DataFrame, merges: list[tuple[str, str, str]]) -> DataFrame:
     """(sym, size, original_tokens, categories) of base and merged tokens. Both sides are as small as a vocabulary."""
     spark = vocab.sparkSession
     base = vocab.select(F.lpad(F.col("idx").cast("string"), 6, "0").alias("sym"), "token", category_of(F.col("token")).alias("category"))
     rows = [(new, j, s) for new, parts in expansions(merges).items() for j, s in enumerate(parts)]
-    merged = spark.createDataFrame(rows, "made string, j int, sym string").join(F.broadcast(base), "sym").groupBy("made").agg(F.array_sort(F.collect_list(F.struct("j", "token", "category"))).alias("x"))
+    merged = _rows(spark, rows, {"made": pa.string(), "j": pa.int32(), "sym": pa.string()}).join(F.broadcast(base), "sym").groupBy("made").agg(F.array_sort(F.collect_list(F.struct("j", "token", "category"))).alias("x"))
     wide = merged.select(F.col("made").alias("sym"), F.size("x").cast("long").alias("size"), F.array_join(F.transform("x", lambda v: v["token"]), " ").alias("original_tokens"), F.array_join(F.array_sort(F.transform("x", lambda v: v["category"])), "+").alias("categories"))
     return base.select("sym", F.lit(1).cast("long").alias("size"), F.col("token").alias("original_tokens"), F.col("category").alias("categories")).unionByName(wide)
 
@@ -35,6 +42,11 @@ def frequencies(encoded: DataFrame) -> DataFrame:
     return encoded.select("n", F.explode(symbols(F.col("enc"))).alias("sym")).groupBy("sym").agg(F.sum("n").alias("n"))
 
 
+def frequency_table(spark: SparkSession, standing: dict[str, int]) -> DataFrame:
+    """The same, as training has counted them."""
+    return _rows(spark, list(standing.items()), {"sym": pa.string(), "n": pa.int64()})
+
+
 def with_frequency(tokens: DataFrame, freq: DataFrame) -> DataFrame:
     return tokens.join(freq, "sym", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 

@@ -318,3 +318,28 @@ def test_sweep_counts_notes_before_it_coarsens_them(spark, monkeypatch):
     n = corpus.coarsened(N.notes(raw, corpus.fine_grid("d", 1)), "d", 1, 10)
     want = {r.word: r.n for r in corpus.counted(corpus.words_of(corpus.with_indices(n, corpus.vocabulary(n)), True)).collect()}
     assert {w: k for (g, w), k in one.items() if g == "duration|010"} == want
+
+
+def test_training_counts_what_stands_after_all_merges(spark, monkeypatch):
+    words = many_words(700, 30, seed=4) | {"[000001]" * 7: 3, "[000099]": 2}
+    df = counted(spark, sorted(words.items()))
+    with monkeypatch.context() as m:
+        m.setattr(merges, "best_pairs", lambda *_: pytest.fail("a round for each merge"))
+        alone = merges.trained_one(df, 300)
+        together = merges.trained_one(df, 300, most=5)
+    assert alone == together and alone[0] == merges.merges_of(list(words), list(words.values()), 300)
+    want = {r.sym: r.n for r in analysis.frequencies(merges.encoded(df, alone[0])).collect()}
+    assert alone[1] == want == {r.sym: r.n for r in analysis.frequency_table(spark, alone[1]).collect()}
+    assert merges.trained_one(df.limit(0), 5) == ([], None) and merges.trained_one(df.where("word = '[000099]'"), 5) == ([], {"000099": 2})
+    monkeypatch.setattr(merges, "LOCAL_SYMBOLS", 1)
+    assert merges.trained_one(df, 3) == (alone[0][:3], None)
+
+
+def test_a_summary_encodes_no_trained_word_again(spark, monkeypatch):
+    want = catalogue.vocab_summary_full(spark, SMALL).collect()
+    with monkeypatch.context() as m:
+        m.setattr(merges, "encoded", lambda *_: pytest.fail("encoded anew"))
+        assert catalogue.vocab_summary_full(spark, SMALL).collect() == want
+    monkeypatch.setattr(merges, "trained_one", lambda words, k: (merges.train_one(words, k), None))
+    monkeypatch.setattr(merges, "train_one", lambda words, k: merges.train(words.withColumn("grp", F.lit("all")), k)["all"])
+    assert catalogue.vocab_summary_full(spark, SMALL).collect() == want
